@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,12 +117,15 @@ def doc_entities(docs: DataFrame, patterns: dict, distinct: bool = True, text_co
 def build_index(solutions: DataFrame, mode: str = "fast", tfidf_cfg: TfidfConfig | None = None,
                 patterns: dict | None = None) -> SolutionIndex:
     """R1 (full), R2 (fast), R3 (ultra): documents, TF-IDF postings and entity postings."""
-    docs = prepare_solutions(solutions, mode)
+    docs = prepare_solutions(solutions, mode).persist(StorageLevel.MEMORY_AND_DISK)
     cfg = tfidf_cfg or CONFIGS[mode]
     pats = patterns or PATTERNS[mode]
     model = fit_transform(docs, "doc_id", "text", cfg)
     ents = doc_entities(docs, pats, distinct=(mode != "ultra"))
-    return SolutionIndex(mode, docs, model, ents, pats)
+    # the index tables feed several channels of every query batch: keep them materialised
+    model = TfidfModel(model.cfg, model.vocab.persist(StorageLevel.MEMORY_AND_DISK),
+                       model.weights.persist(StorageLevel.MEMORY_AND_DISK))
+    return SolutionIndex(mode, docs, model, ents.persist(StorageLevel.MEMORY_AND_DISK), pats)
 
 
 # --------------------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,9 +122,15 @@ class TfidfModel:
         return weigh(tf, self.vocab, self.cfg).withColumnRenamed("doc_id", id_col)
 
 
-def fit_transform(docs: DataFrame, id_col: str, text_col: str, cfg: TfidfConfig) -> TfidfModel:
-    """Fit the vocabulary and weigh the same documents."""
+def fit_transform(docs: DataFrame, id_col: str, text_col: str, cfg: TfidfConfig, persist: bool = True) -> TfidfModel:
+    """Fit the vocabulary and weigh the same documents.
+
+    The term-frequency table feeds both the vocabulary and the weights, so it is persisted
+    (memory, spilling to disk) instead of re-running the text analysis for each branch.
+    """
     tf = term_frequencies(docs, id_col, text_col, cfg)
+    if persist:
+        tf = tf.persist(StorageLevel.MEMORY_AND_DISK)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     vocab = fit_vocabulary(tf, n_docs, cfg)
     return TfidfModel(cfg, vocab, weigh(tf, vocab, cfg))
