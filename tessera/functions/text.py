@@ -125,6 +125,12 @@ def drop_stop_words(toks: Column, stop_words: Sequence[str] | None) -> Column:
     return F.filter(toks, lambda t: ~F.array_contains(stop, t))
 
 
+def _gram(toks: Column, n: int):
+    def f(i: Column) -> Column:
+        return F.array_join(F.slice(toks, i, n), " ")
+    return f
+
+
 def ngrams(toks: Column, n_min: int = 1, n_max: int = 1) -> Column:
     """Word n-grams for n in [n_min, n_max], joined by one space, in the vectoriser's order
     (all unigrams, then all bigrams, ...)."""
@@ -133,10 +139,7 @@ def ngrams(toks: Column, n_min: int = 1, n_max: int = 1) -> Column:
         if n == 1:
             out.append(toks)
             continue
-        grams = F.transform(
-            F.sequence(F.lit(1), F.size(toks) - n + 1),
-            lambda i, n=n: F.array_join(F.slice(toks, i, n), " "),
-        )
+        grams = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), _gram(toks, n))
         out.append(F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>")))
     return out[0] if len(out) == 1 else F.concat(*out)
 
@@ -181,6 +184,13 @@ def with_terms(df: DataFrame, text_col: str, out_col: str, ngram_range: tuple[in
     return staged.withColumn(out_col, out).drop(*drop)
 
 
+def _tag(name: str):
+    """Element lambda for ``transform`` (a closure: a second parameter would be the index)."""
+    def f(v: Column) -> Column:
+        return F.struct(F.lit(name).alias("type"), v.alias("value"))
+    return f
+
+
 def extract_entities(c: Column, patterns: Mapping[str, str], distinct: bool = True, unicode: bool = True) -> Column:
     """Regex entities of lower-cased text as array<struct<type,value>>.
 
@@ -194,7 +204,7 @@ def extract_entities(c: Column, patterns: Mapping[str, str], distinct: bool = Tr
         m = F.regexp_extract_all(x, F.lit(("(?U)" if unicode else "") + pat), 0)
         if distinct:
             m = F.array_distinct(m)
-        parts.append(F.transform(m, lambda v, name=name: F.struct(F.lit(name).alias("type"), v.alias("value"))))
+        parts.append(F.transform(m, _tag(name)))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
