@@ -112,3 +112,11 @@ def benchmark_queries(spark: SparkSession, sf_dir: str, with_filters: bool = Fal
         F.lit(None).cast("string").alias("subcategory"),
         F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("product"),
     )
+
+
+def conversation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as a query batch: query_id = conv_id * 1000 + turn."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
+                    F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("subcategory"),
+                    F.lit(None).cast("string").alias("product"))
