@@ -121,7 +121,8 @@ def rule_language(text: Column, markers: Mapping[str, Sequence[str]] = LANG_MARK
 
 # ---------------------------------------------------------------- G12, G13
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
-    return df.groupBy(F.col(label).alias("label"), F.col(pred).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(F.col(label).cast("string").alias("label"), F.col(pred).cast("string").alias("prediction")).agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
