@@ -452,7 +452,7 @@ def search_ultra(index: SolutionIndex, queries: DataFrame, limit: int = 10) -> D
     rows = with_doc_fields(cand, index, q)
     cond = filter_condition(F.col("category"), F.lit(None), F.col("product"),
                             F.col("q_category"), F.lit(None).cast("string"), F.col("q_product"))
-    out = top_k(rows.where(cond), limit, [F.col("_pre").asc()], "rank")
+    out = top_k(rows.where(cond), limit, [F.col("_pre").asc()], "rank").join(q.select("query_id", "q_text"), "query_id")
     # C14 on the (small) result rows only: candidates x their entity postings
     hit = (
         out.select("query_id", "doc_id", "q_text")

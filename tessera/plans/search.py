@@ -17,10 +17,13 @@ LIMIT = 10
 # ------------------------------------------------------------------------------------------
 # SQL twins
 # ------------------------------------------------------------------------------------------
-def _fast_sql(with_filters: bool, filter_first: bool = True) -> str:
+def _fast_sql(with_filters: bool, filter_first: bool = True, body: str | None = None, q_sql: str | None = None,
+              extra: tuple[str, ...] = ()) -> str:
     cfg = CONFIGS["fast"]
     pats = T.ENTITY_PATTERNS_FAST
-    if with_filters:
+    if q_sql is not None:
+        q = q_sql
+    elif with_filters:
         q = ("SELECT item_id AS query_id, " + S.norm("text") + " AS q_text, "
              "(['de','en','es','fr'])[CAST(item_id % 4 AS INTEGER) + 1] AS q_category, "
              "CAST(NULL AS VARCHAR) AS q_subcategory, 'src' || CAST(item_id % 20 AS VARCHAR) AS q_product FROM benchmark")
@@ -78,7 +81,8 @@ def _fast_sql(with_filters: bool, filter_first: bool = True) -> str:
   AS pre FROM pre0 WHERE (q_category IS NULL OR lower(category) = lower(q_category))
   AND (q_subcategory IS NULL OR lower(subcategory) = lower(q_subcategory))
   AND (q_product IS NULL OR lower(product) = lower(q_product)) QUALIFY pre <= 10)""")
-    body = """SELECT query_id,
+    ctes += list(extra)
+    body = body or """SELECT query_id,
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.7::DOUBLE * relevance_score + 0.3::DOUBLE * success_rate, 6) DESC,
                      pre ASC, doc_id) AS BIGINT) AS rank,
   doc_id, title, content, relevance_score, round(success_rate, 6) AS success_rate, category, subcategory, product,
