@@ -140,13 +140,12 @@ def duplicate_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """w_c = (max_n / n_c) / sum_k(max_n / n_k) * K  (inverse frequency, mean 1)."""
+    """Inverse-frequency weights normalised so the per-sample weights average 1:
+    w_c = (max_n / n_c) / sum_samples(max_n / n_y) * N = N / (K * n_c)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    tot = counts.agg(F.max("n").alias("_mx"), F.count(F.lit(1)).alias("_k"))
-    raw = counts.crossJoin(F.broadcast(tot)).withColumn("_r", F.col("_mx") / F.col("n"))  # one-row side
-    s = raw.agg(F.sum("_r").alias("_s"))
-    return raw.crossJoin(F.broadcast(s)).select(
-        label, "n", (F.col("_r") / F.col("_s") * F.col("_k")).alias("weight"))
+    tot = counts.agg(F.sum("n").alias("_N"), F.count(F.lit(1)).alias("_K"))
+    return counts.crossJoin(F.broadcast(tot)).select(  # one-row side
+        label, "n", (F.col("_N") / (F.col("_K") * F.col("n"))).alias("weight"))
 
 
 def cumulative_histogram(df: DataFrame, col: str, bounds: Sequence[float]) -> DataFrame:

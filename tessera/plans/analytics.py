@@ -173,7 +173,7 @@ def dup_rows(spark, sf):
 
 
 @query("class_weights", with_views("""
-SELECT category, n, (mx / n) / sum(mx / n) OVER () * count(*) OVER () AS weight FROM (
+SELECT category, n, (mx / n) / sum(n * (mx / n)) OVER () * sum(n) OVER () AS weight FROM (
   SELECT category, count(*) AS n, max(count(*)) OVER () AS mx FROM v_text GROUP BY category)"""))
 def class_weights(spark, sf):
     return G.class_weights(v_text(spark, sf), "category")
