@@ -107,9 +107,14 @@ def _member(words: tuple[str, ...]):
 
 
 def rule_language(text: Column, markers: Mapping[str, Sequence[str]] = LANG_MARKERS) -> Column:
-    """Language with the most marker-word tokens; ties to the alphabetically first; none -> 'en'."""
+    """Language with the most marker-word tokens; ties to the alphabetically first; none -> 'en'.
+
+    Expression form (tokenises once per language); prefer ``with_rule_language`` on frames."""
     toks = tokens(text)
-    counts = {lang: F.size(F.filter(toks, _member(tuple(ws)))) for lang, ws in markers.items()}
+    return _argmax_language({lang: F.size(F.filter(toks, _member(tuple(ws)))) for lang, ws in markers.items()})
+
+
+def _argmax_language(counts: Mapping[str, Column]) -> Column:
     langs = sorted(counts)
     best = F.greatest(*[counts[lg] for lg in langs])
     expr = None
@@ -119,6 +124,21 @@ def rule_language(text: Column, markers: Mapping[str, Sequence[str]] = LANG_MARK
     return F.when(best == 0, F.lit("en")).otherwise(expr)
 
 
+def with_rule_language(df: DataFrame, text_col: str, out: str, id_col: str = "id",
+                       markers: Mapping[str, Sequence[str]] = LANG_MARKERS) -> DataFrame:
+    """Rule-based language column, relationally: tokens are exploded and joined to the marker
+    table (a few words, broadcast), counted per (row, language), and the arg-max is joined back.
+    Only marker hits are shuffled; rows without any hit get 'en'."""
+    spark = df.sparkSession
+    mk = spark.createDataFrame([(w, lang) for lang, ws in markers.items() for w in ws], "word string, lang string")
+    hits = (df.select(F.col(id_col).alias("_rl_id"), F.explode(tokens(F.col(text_col))).alias("word"))
+            .join(F.broadcast(mk), "word").groupBy("_rl_id", "lang").agg(F.count(F.lit(1)).alias("_c")))
+    # arg-max per row: highest count, ties to the alphabetically first language
+    best = hits.groupBy("_rl_id").agg(F.min_by("lang", F.struct((-F.col("_c")).alias("c"), F.col("lang"))).alias("_lang"))
+    j = df.join(best, df[id_col] == best["_rl_id"], "left")
+    return j.withColumn(out, F.coalesce(F.col("_lang"), F.lit("en"))).drop("_rl_id", "_lang")
+
+
 # ---------------------------------------------------------------- G12, G13
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(label).cast("string").alias("label"), F.col(pred).cast("string").alias("prediction")).agg(

@@ -29,8 +29,8 @@ PRED_SQL = f"pred AS (SELECT id, category AS label, {_rule_sql('description')} A
 
 
 def _predictions(spark, sf):
-    v = v_text(spark, sf)
-    return v.select("id", F.col("category").alias("label"), X.rule_language(F.col("description")).alias("prediction"))
+    v = v_text(spark, sf).select("id", F.col("category").alias("label"), "description")
+    return X.with_rule_language(v, "description", "prediction").select("id", "label", "prediction")
 
 
 # ---------------------------------------------------------------- X3, X4, X7, X9, X10, X11
