@@ -12,7 +12,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("exact_dedup",)
+MODULES = ("mixing", "exact_dedup")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
