@@ -102,7 +102,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256, and _fp (of the normalised text)."""
     norm = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE, " ")
     texts = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm")).withColumn("_fp", F.xxhash64("_norm"))
-    slim = stage(texts.select("_id", "_fp", F.unhex(F.sha2("_norm", 256)).alias("_sha")))
+    slim = texts.select("_id", "_fp", F.unhex(F.sha2("_norm", 256)).alias("_sha"))
+    first = F.row_number().over(Window.partitionBy("_id", "_fp", "_sha").orderBy("_id"))  # of rows that repeat id and text
+    slim = stage(slim.withColumn("_first", first == 1))
     repeated = stage(repeated_fingerprints(slim.select(F.col("_fp").alias("fp"))))
     n = repeated.count()
     route = repeated.select(F.col("fp").alias("_fp"))
@@ -112,9 +114,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = slim.join(stage(classes), ["_fp", "_sha"], "left")
     out = out.withColumns({"keep_id": F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")),
                            "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
-    first = F.row_number().over(Window.partitionBy("_id", "_fp", "_sha").orderBy("_id"))
     return out.select(F.col("_id").alias(id_col), "keep_id", "group_size",
-                      (F.col("_id").eqNullSafe(F.col("keep_id")) & (first == 1)).alias("kept"),
+                      (F.col("_id").eqNullSafe(F.col("keep_id")) & F.col("_first")).alias("kept"),
                       F.lower(F.hex("_sha")).alias("text_sha256"), "_fp")
 
 
