@@ -79,7 +79,8 @@ def item_index(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     ``around`` holds the words that extending may reach, the gram itself beginning at ``off``.
     """
     words = items.select(F.col(id_col).cast("string").alias("item"), split_words(F.col(text_col)).alias("words"))
-    g = fingerprints(words, [], short_items=True).select("item", "words", F.explode("grams").alias("g"))
+    # explode_outer: plain explode infers a filter on the array's size, which is pushed below and evaluates everything again
+    g = fingerprints(words, [], short_items=True).select("item", "words", F.explode_outer("grams").alias("g")).where("g.fp is not null")
     reach = F.when(F.col("g.n") == K, SPAN - K).otherwise(0)
     short = F.size("words") < SPAN
     reach = F.when(short, F.lit(0)).otherwise(reach)
@@ -96,7 +97,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_th"), split_words(F.col(text_col)).alias("words"))
     marker = F.array(F.struct(F.lit(None).cast("long").alias("fp"), F.lit(-1).alias("pos"), F.lit(0).alias("n")))
-    probes = fingerprints(base, shorts).select("_id", "_th", "_n", "words", F.explode(F.concat(marker, F.col("grams"))).alias("g"))
+    probes = fingerprints(base, shorts).select("_id", "_th", "_n", "words", F.explode_outer(F.concat(marker, F.col("grams"))).alias("g"))
     probes = probes.select("_id", "_th", "_n", "words", F.col("g.fp").alias("fp"), F.col("g.pos").alias("pos"), F.col("g.n").alias("_pn"))
     if index.count() <= BROADCAST_ROWS:
         found = probes.join(F.broadcast(index), "fp", "left").where("n is not null or pos = -1")
