@@ -57,8 +57,15 @@ def fingerprints(words: DataFrame, shorts: list[int], short_items: bool = False)
 
     none = F.array().cast("array<struct<fp:bigint,pos:int,n:int>>")
     h = h.withColumn("_g", F.transform(span(F.col("_n") - K), lambda i: gram("_h", i, K)))
-    # the position of the leftmost smallest hash of each window, then its distinct positions
-    kept = F.array_distinct(F.transform(span(F.col("_n") - SPAN), lambda i: i + F.array_position(F.slice("_g", i + 1, W), F.array_min(F.slice("_g", i + 1, W))).cast("int") - 1))
+    # the smallest hash of each window, then the leftmost position that holds it (no slices: each would copy the whole array)
+    h = h.withColumn("_m", F.transform(span(F.col("_n") - SPAN), lambda i: F.least(*[F.get(F.col("_g"), i + d) for d in range(W)])))
+
+    def leftmost(m: Column, i: Column) -> Column:
+        at = F.lit(W - 1)
+        for d in range(W - 2, -1, -1):
+            at = F.when(F.get(F.col("_g"), i + d) == m, F.lit(d)).otherwise(at)
+        return i + at
+    kept = F.array_distinct(F.transform("_m", leftmost))
     long_grams = F.transform(kept, lambda p: struct(F.get(F.col("_g"), p), p, K))
     if short_items:
         whole = none
@@ -70,7 +77,12 @@ def fingerprints(words: DataFrame, shorts: list[int], short_items: bool = False)
         for n in shorts:
             parts.append(F.transform(span(F.col("_n") - n), lambda i, n=n: struct(gram("_h", i, n), i, n)))
         grams = F.concat(*parts)
-    return h.withColumn("grams", grams).drop("_h", "_g")
+    return h.withColumn("grams", grams).drop("_h", "_g", "_m")
+
+
+def cut(words: Column, first: Column, n: Column) -> Column:
+    """n words from position ``first`` (0-based), null beyond the end; the cost does not depend on the text's length."""
+    return F.when(n > 0, F.transform(F.sequence(first, first + n - 1), lambda j: F.get(words, j)))
 
 
 def item_index(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
@@ -85,7 +97,7 @@ def item_index(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     short = F.size("words") < SPAN
     reach = F.when(short, F.lit(0)).otherwise(reach)
     g = g.withColumn("off", F.least(reach, F.col("g.pos")))
-    around = F.slice("words", F.col("g.pos") - F.col("off") + 1, F.col("off") + F.col("g.n") + reach)
+    around = F.filter(cut(F.col("words"), F.col("g.pos") - F.col("off"), F.col("off") + F.col("g.n") + reach), lambda x: x.isNotNull())
     index = stage(g.select(F.col("g.fp").alias("fp"), F.when(short, -F.col("g.n")).otherwise(F.col("g.n")).alias("n"), "item", around.alias("around"), "off").distinct())
     shorts = [-r.n for r in index.where("n < 0").select("n").distinct().orderBy("n").collect()]  # at most nine
     return index, sorted(shorts)
@@ -103,7 +115,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
         found = probes.join(F.broadcast(index), "fp", "left").where("n is not null or pos = -1")
         near, at = F.col("words"), F.col("pos")
     else:
-        slim = probes.select("_id", "_th", "_n", "fp", "pos", "_pn", F.slice("words", F.greatest(F.lit(1), F.col("pos") - (SPAN - K) + 1), F.least(F.col("pos"), F.lit(SPAN - K)) + SPAN).alias("words"))
+        slim = probes.select("_id", "_th", "_n", "fp", "pos", "_pn", cut(F.col("words"), F.greatest(F.lit(0), F.col("pos") - (SPAN - K)), F.least(F.col("pos"), F.lit(SPAN - K)) + SPAN).alias("words"))
         found = slim.where("pos >= 0").join(index, "fp").unionByName(slim.where("pos = -1"), allowMissingColumns=True)
         near, at = F.col("words"), F.least(F.col("pos"), F.lit(SPAN - K))
     found = found.where("pos = -1 or _pn = abs(n)")
