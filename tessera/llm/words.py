@@ -18,8 +18,8 @@ U = np.uint64
 
 _byte = np.arange(256)
 IS_SPACE = (_byte == 32) | ((_byte >= 9) & (_byte <= 13))
-#: Letters, digits and every non-ASCII byte; all else separates.
-IS_ALNUM = ((_byte >= 48) & (_byte <= 57)) | ((_byte >= 65) & (_byte <= 90)) | ((_byte >= 97) & (_byte <= 122)) | (_byte >= 128)
+#: All but letters, digits and non-ASCII bytes.
+IS_PUNCT = ~(((_byte >= 48) & (_byte <= 57)) | ((_byte >= 65) & (_byte <= 90)) | ((_byte >= 97) & (_byte <= 122)) | (_byte >= 128))
 LOWER = np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte).astype(np.uint8)
 MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=U)
 
