@@ -31,6 +31,7 @@ SPAN = 10
 K = 5
 W = SPAN - K + 1
 BROADCAST_ROWS = 1_000_000
+MARK = 0
 
 
 def split_words(text: Column) -> Column:
@@ -108,17 +109,19 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
     index, shorts = item_index(items, item_id, item_text)
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_th"), split_words(F.col(text_col)).alias("words"))
-    marker = F.array(F.struct(F.lit(None).cast("long").alias("fp"), F.lit(-1).alias("pos"), F.lit(0).alias("n")))
+    # a marker gram in every row and in the index: the inner join then keeps one row a document, and only what matches leaves it
+    marker = F.array(F.struct(F.lit(MARK).cast("long").alias("fp"), F.lit(-1).alias("pos"), F.lit(0).alias("n")))
+    one = docs.sparkSession.range(1).select(F.lit(MARK).cast("long").alias("fp"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("item"), F.array().cast("array<string>").alias("around"), F.lit(0).alias("off"))
     probes = fingerprints(base, shorts).select("_id", "_th", "_n", "words", F.explode_outer(F.concat(marker, F.col("grams"))).alias("g"))
     probes = probes.select("_id", "_th", "_n", "words", F.col("g.fp").alias("fp"), F.col("g.pos").alias("pos"), F.col("g.n").alias("_pn"))
     if index.count() <= BROADCAST_ROWS:
-        found = probes.join(F.broadcast(index), "fp", "left").where("n is not null or pos = -1")
+        found = probes.join(F.broadcast(index.unionByName(one)), "fp")
         near, at = F.col("words"), F.col("pos")
     else:
-        slim = probes.select("_id", "_th", "_n", "fp", "pos", "_pn", cut(F.col("words"), F.greatest(F.lit(0), F.col("pos") - (SPAN - K)), F.least(F.col("pos"), F.lit(SPAN - K)) + SPAN).alias("words"))
-        found = slim.where("pos >= 0").join(index, "fp").unionByName(slim.where("pos = -1"), allowMissingColumns=True)
+        slim = probes.withColumn("words", cut(F.col("words"), F.greatest(F.lit(0), F.col("pos") - (SPAN - K)), F.least(F.col("pos"), F.lit(SPAN - K)) + SPAN))
+        found = slim.where("pos >= 0").join(index, "fp").unionByName(slim.where("pos = -1").join(F.broadcast(one), "fp"))
         near, at = F.col("words"), F.least(F.col("pos"), F.lit(SPAN - K))
-    found = found.where("pos = -1 or _pn = abs(n)")
+    found = found.where("_pn = abs(n)").withColumns({"_near": near, "_at": at, "_size": F.abs("n")})
     # equal words of the item's surroundings, position by position; out of the document is unequal
     found = found.withColumns({"_near": near, "_at": at, "_size": F.abs("n")})
     same = F.transform(F.col("around"), lambda x, i: F.coalesce(F.get(F.col("_near"), F.col("_at") - F.col("off") + i) == x, F.lit(False)))
@@ -134,7 +137,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
     core = F.forall(F.slice("_same", F.col("off") + 1, F.col("_size")), lambda x: x)
     found = found.withColumns({"_l": left, "_r": right, "_core": core})
     good = F.col("_core") & ((F.col("n") < 0) | (F.col("_l") + F.col("_size") + F.col("_r") >= SPAN))
-    found = found.where((F.col("pos") == -1) | good)
+    found = found.where((F.col("n") == 0) | good)
     return stage(found.select("_id", "_th", F.col("_n").alias("n_words"), "item", (F.col("pos") == -1).alias("marker"),
                               (F.col("pos") - F.col("_l")).alias("lo"), (F.col("pos") + F.col("_size") + F.col("_r")).alias("hi")))
 
