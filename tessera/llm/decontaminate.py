@@ -164,9 +164,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; all columns."""
-    bad = stage(decontaminate(docs, items, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("_bid"), F.col("_th").alias("_bth")).distinct())
+    bad = stage(decontaminate(docs, items, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("__t_bid"), F.col("_th").alias("__t_bth")).distinct())
     th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.withColumn("_th", th).join(bad, F.col(id_col).eqNullSafe(F.col("_bid")) & (F.col("_th") == F.col("_bth")), "left_anti").drop("_th")
+    return docs.withColumn("__t_th", th).join(bad, F.col(id_col).eqNullSafe(F.col("__t_bid")) & (F.col("__t_th") == F.col("__t_bth")), "left_anti").drop("__t_th")
 
 
 ORACLE = rf"""

@@ -121,14 +121,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the copies: all columns, one row of each group of equal texts."""
-    kept = stage(exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kid"), F.col("_fp").alias("_kfp"), "text_sha256"))
+    kept = stage(exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__t_id"), F.col("_fp").alias("__t_fp"), "text_sha256"))
     norm = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE, " ")
     cols = docs.columns
-    keyed = docs.withColumn("_kfp", F.xxhash64(norm)).withColumn("_kid", F.col(id_col))
-    on = keyed["_kfp"].eqNullSafe(kept["_kfp"]) & keyed["_kid"].eqNullSafe(kept["_kid"])
+    keyed = docs.withColumn("__t_fp", F.xxhash64(norm)).withColumn("__t_id", F.col(id_col))
+    on = keyed["__t_fp"].eqNullSafe(kept["__t_fp"]) & keyed["__t_id"].eqNullSafe(kept["__t_id"])
     rest = keyed.join(kept, on, "left_semi")
-    one = F.row_number().over(Window.partitionBy("_kfp", "_kid").orderBy(*[F.col(c) for c in cols]))
-    return rest.withColumn("_one", one).where("_one = 1").select(*cols)
+    one = F.row_number().over(Window.partitionBy("__t_fp", "__t_id").orderBy(*[F.col(c) for c in cols]))
+    return rest.withColumn("__t_one", one).where("__t_one = 1").select(*cols)
 
 
 ORACLE = r"""

@@ -243,9 +243,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; all columns. Rows of the same id and component are one document."""
     gone = near_dedup(docs, id_col, text_col, shingle, max_bits).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = stage(gone.select(F.col(id_col).alias("_gid"), F.col("_th").alias("_gth")).distinct())
-    keyed = docs.withColumn("_gone_th", text_key(text_col))
-    return keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col("_gone_th") == F.col("_gth")), "left_anti").drop("_gone_th")
+    gone = stage(gone.select(F.col(id_col).alias("__t_gid"), F.col("_th").alias("__t_gth")).distinct())
+    keyed = docs.withColumn("__t_th", text_key(text_col))
+    return keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__t_gid")) & (F.col("__t_th") == F.col("__t_gth")), "left_anti").drop("__t_th")
 
 
 @query("op9_simhash")

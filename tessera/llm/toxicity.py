@@ -261,9 +261,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` without the documents predicted toxic; all columns."""
-    bad = stage(score_toxicity(docs, labels, id_col, text_col, rows=rows).where("predicted = 1").select(F.col(id_col).alias("_bid"), F.col("_th").alias("_bth")).distinct())
+    bad = stage(score_toxicity(docs, labels, id_col, text_col, rows=rows).where("predicted = 1").select(F.col(id_col).alias("__t_bid"), F.col("_th").alias("__t_bth")).distinct())
     th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.withColumn("_th", th).join(bad, F.col(id_col).eqNullSafe(F.col("_bid")) & (F.col("_th") == F.col("_bth")), "left_anti").drop("_th")
+    return docs.withColumn("__t_th", th).join(bad, F.col(id_col).eqNullSafe(F.col("__t_bid")) & (F.col("__t_th") == F.col("__t_bth")), "left_anti").drop("__t_th")
 
 
 @query("op5_toxicity")
