@@ -10,8 +10,8 @@ Items of fewer than 10 words are one window: all n-grams of the few lengths that
 are probed for them.
 
 The benchmark's fingerprints are written and counted; up to ``BROADCAST_ROWS`` they are sent to the
-scan, where they are probed without a shuffle of the documents; beyond, fingerprints are joined by
-a shuffle and carry the few words that extending needs. All steps are built-in expressions.
+scan, where they are probed without a shuffle of the documents; beyond, the fingerprints are joined by a shuffle.
+A fingerprint carries the few words that extending needs. All steps are built-in expressions.
 
 Defined cases: null texts and texts without words have no hit; items without words have no window;
 rows that repeat an id are judged each on its own text; a null id is an id; empty tables give empty
@@ -30,8 +30,8 @@ WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN = 10
 K = 5
 W = SPAN - K + 1
+REACH = SPAN - K
 BROADCAST_ROWS = 1_000_000
-MARK = 0
 
 
 def split_words(text: Column) -> Column:
@@ -44,19 +44,23 @@ def gram(hashes: str, i: Column, n: int) -> Column:
 
 
 def fingerprints(words: DataFrame, shorts: list[int], short_items: bool = False) -> DataFrame:
-    """Adds ``grams``, an array of (fp, pos, n): winnowed k-grams, and all n-grams of the lengths ``shorts``.
+    """Adds ``grams``, an array of (fp, pos, n, near): winnowed k-grams, and all n-grams of the lengths ``shorts`` (these with -n).
+
+    ``near`` are the words that extending may reach: ``REACH`` to each side of a k-gram. They travel
+    with the gram, as the text must not: a row's grams leave an explode together.
 
     With ``short_items`` the texts of fewer than ``SPAN`` words give their one whole-text gram only.
     """
     h = words.withColumn("_h", F.transform("words", lambda x: F.xxhash64(x))).withColumn("_n", F.size("words"))
 
-    def struct(fp: Column, pos: Column, n: int) -> Column:
-        return F.struct(fp.alias("fp"), pos.cast("int").alias("pos"), F.lit(n).alias("n"))
+    def struct(fp: Column, pos: Column, n: int, reach: int = 0) -> Column:
+        near = F.transform(F.sequence(pos - reach, pos + (n + reach - 1)), lambda j: F.get(F.col("words"), j))
+        return F.struct(fp.alias("fp"), pos.cast("int").alias("pos"), F.lit(n if reach else -n).alias("n"), near.alias("near"))
 
     def span(last: Column) -> Column:
         return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
-    none = F.array().cast("array<struct<fp:bigint,pos:int,n:int>>")
+    none = F.array().cast("array<struct<fp:bigint,pos:int,n:int,near:array<string>>>")
     h = h.withColumn("_g", F.transform(span(F.col("_n") - K), lambda i: gram("_h", i, K)))
     # the smallest hash of each window, then the leftmost position that holds it (no slices: each would copy the whole array)
     h = h.withColumn("_m", F.transform(span(F.col("_n") - SPAN), lambda i: F.least(*[F.get(F.col("_g"), i + d) for d in range(W)])))
@@ -67,7 +71,7 @@ def fingerprints(words: DataFrame, shorts: list[int], short_items: bool = False)
             at = F.when(F.get(F.col("_g"), i + d) == m, F.lit(d)).otherwise(at)
         return i + at
     kept = F.array_distinct(F.transform("_m", leftmost))
-    long_grams = F.transform(kept, lambda p: struct(F.get(F.col("_g"), p), p, K))
+    long_grams = F.transform(kept, lambda p: struct(F.get(F.col("_g"), p), p, K, REACH))
     if short_items:
         whole = none
         for n in range(1, SPAN):
@@ -75,31 +79,19 @@ def fingerprints(words: DataFrame, shorts: list[int], short_items: bool = False)
         grams = F.when(F.col("_n") >= SPAN, long_grams).otherwise(whole)
     else:
         parts = [F.when(F.col("_n") >= SPAN, long_grams).otherwise(none)]
-        for n in shorts:
-            parts.append(F.transform(span(F.col("_n") - n), lambda i, n=n: struct(gram("_h", i, n), i, n)))
+        def every(n: int) -> Column:
+            return F.transform(span(F.col("_n") - n), lambda i: struct(gram("_h", i, n), i, n))
+        parts += map(every, shorts)
         grams = F.concat(*parts)
     return h.withColumn("grams", grams).drop("_h", "_g", "_m")
 
 
-def cut(words: Column, first: Column, n: Column) -> Column:
-    """n words from position ``first`` (0-based), null beyond the end; the cost does not depend on the text's length."""
-    return F.when(n > 0, F.transform(F.sequence(first, first + n - 1), lambda j: F.get(words, j)))
-
-
 def item_index(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
-    """(fp, n, item, around, off) of the items, and the lengths below ``SPAN`` that occur.
-
-    ``around`` holds the words that extending may reach, the gram itself beginning at ``off``.
-    """
+    """(fp, n, item, around) of the items, laid out like the documents' grams, and the lengths below ``SPAN`` that occur."""
     words = items.select(F.col(id_col).cast("string").alias("item"), split_words(F.col(text_col)).alias("words"))
     # explode_outer: plain explode infers a filter on the array's size, which is pushed below and evaluates everything again
     g = fingerprints(words, [], short_items=True).select("item", "words", F.explode_outer("grams").alias("g")).where("g.fp is not null")
-    reach = F.when(F.col("g.n") == K, SPAN - K).otherwise(0)
-    short = F.size("words") < SPAN
-    reach = F.when(short, F.lit(0)).otherwise(reach)
-    g = g.withColumn("off", F.least(reach, F.col("g.pos")))
-    around = F.filter(cut(F.col("words"), F.col("g.pos") - F.col("off"), F.col("off") + F.col("g.n") + reach), lambda x: x.isNotNull())
-    index = stage(g.select(F.col("g.fp").alias("fp"), F.when(short, -F.col("g.n")).otherwise(F.col("g.n")).alias("n"), "item", around.alias("around"), "off").distinct())
+    index = stage(g.select(F.col("g.fp").alias("fp"), F.col("g.n").alias("n"), "item", F.col("g.near").alias("around")).distinct())
     shorts = [-r.n for r in index.where("n < 0").select("n").distinct().orderBy("n").collect()]  # at most nine
     return index, sorted(shorts)
 
@@ -109,37 +101,31 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
     index, shorts = item_index(items, item_id, item_text)
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_th"), split_words(F.col(text_col)).alias("words"))
-    # a marker gram in every row and in the index: the inner join then keeps one row a document, and only what matches leaves it
-    marker = F.array(F.struct(F.lit(MARK).cast("long").alias("fp"), F.lit(-1).alias("pos"), F.lit(0).alias("n")))
-    one = docs.sparkSession.range(1).select(F.lit(MARK).cast("long").alias("fp"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("item"), F.array().cast("array<string>").alias("around"), F.lit(0).alias("off"))
-    probes = fingerprints(base, shorts).select("_id", "_th", "_n", "words", F.explode_outer(F.concat(marker, F.col("grams"))).alias("g"))
-    probes = probes.select("_id", "_th", "_n", "words", F.col("g.fp").alias("fp"), F.col("g.pos").alias("pos"), F.col("g.n").alias("_pn"))
+    # a marker gram in every row, so that one row a document leaves the probe
+    marker = F.array(F.struct(F.lit(0).cast("long").alias("fp"), F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("near")))
+    probes = fingerprints(base, shorts).select("_id", "_th", "_n", F.explode_outer(F.concat(marker, F.col("grams"))).alias("g"))
+    probes = probes.select("_id", "_th", F.col("_n").alias("n_words"), F.col("g.fp").alias("fp"), F.col("g.pos").alias("pos"), F.col("g.n").alias("n"), F.col("g.near").alias("near"))
+    one = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("fp"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("item"), F.array().cast("array<string>").alias("around"))
     if index.count() <= BROADCAST_ROWS:
-        found = probes.join(F.broadcast(index.unionByName(one)), "fp")
-        near, at = F.col("words"), F.col("pos")
+        found = probes.join(F.broadcast(index.unionByName(one)), ["fp", "n"])
     else:
-        slim = probes.withColumn("words", cut(F.col("words"), F.greatest(F.lit(0), F.col("pos") - (SPAN - K)), F.least(F.col("pos"), F.lit(SPAN - K)) + SPAN))
-        found = slim.where("pos >= 0").join(index, "fp").unionByName(slim.where("pos = -1").join(F.broadcast(one), "fp"))
-        near, at = F.col("words"), F.least(F.col("pos"), F.lit(SPAN - K))
-    found = found.where("_pn = abs(n)").withColumns({"_near": near, "_at": at, "_size": F.abs("n")})
-    # equal words of the item's surroundings, position by position; out of the document is unequal
-    found = found.withColumns({"_near": near, "_at": at, "_size": F.abs("n")})
-    same = F.transform(F.col("around"), lambda x, i: F.coalesce(F.get(F.col("_near"), F.col("_at") - F.col("off") + i) == x, F.lit(False)))
-    found = found.withColumn("_same", same).drop("words", "_near", "around")
+        found = probes.where("n <> 0").join(index, ["fp", "n"]).unionByName(probes.where("n = 0").join(F.broadcast(one), ["fp", "n"]))
+    # equal words around the hit, position by position; beyond either text is unequal
+    found = found.withColumn("_same", F.transform("near", lambda x, i: F.coalesce(F.get(F.col("around"), i) == x, F.lit(False)))).drop("near", "around")
+    off, size = F.when(F.col("n") > 0, REACH).otherwise(0), F.abs("n")
 
     def run(flags: Column) -> Column:
         """Length of the leading run of true."""
         stop = F.array_position(flags, False)
         return F.when(stop == 0, F.size(flags)).otherwise(stop - 1).cast("int")
 
-    left = run(F.reverse(F.slice("_same", F.lit(1), F.col("off"))))
-    right = run(F.slice("_same", F.col("off") + F.col("_size") + 1, F.lit(SPAN)))
-    core = F.forall(F.slice("_same", F.col("off") + 1, F.col("_size")), lambda x: x)
+    left = run(F.reverse(F.slice("_same", F.lit(1), off)))
+    right = run(F.slice("_same", off + size + 1, F.lit(SPAN)))
+    core = F.forall(F.slice("_same", off + 1, size), lambda x: x)
     found = found.withColumns({"_l": left, "_r": right, "_core": core})
-    good = F.col("_core") & ((F.col("n") < 0) | (F.col("_l") + F.col("_size") + F.col("_r") >= SPAN))
+    good = F.col("_core") & ((F.col("n") < 0) | (F.col("_l") + size + F.col("_r") >= SPAN))
     found = found.where((F.col("n") == 0) | good)
-    return stage(found.select("_id", "_th", F.col("_n").alias("n_words"), "item", (F.col("pos") == -1).alias("marker"),
-                              (F.col("pos") - F.col("_l")).alias("lo"), (F.col("pos") + F.col("_size") + F.col("_r")).alias("hi")))
+    return stage(found.select("_id", "_th", "n_words", "item", (F.col("n") == 0).alias("marker"), (F.col("pos") - F.col("_l")).alias("lo"), (F.col("pos") + size + F.col("_r")).alias("hi")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
