@@ -1,7 +1,7 @@
 """Secret scans (6), native: rules, then character Markov models compared by log-likelihood ratio.
 
 1. One scan takes every text's rule spans (kinds ``assign``, ``access``, ``hex``) and its candidate
-   runs: at least ``MIN_RUN`` characters of ``RUN`` that no rule span overlaps. Only these few
+   runs: at least ``MIN_RUN`` characters of ``RUN``, not digits alone, that no rule span overlaps. Only these few
    strings, with code-point positions, are written on.
 2. Labelled samples: the values that the rules found are random strings, candidate runs without
    a digit are ordinary identifiers (runs with digits carry no label); of each at most ``SAMPLE`` distinct ones, in the order of a hash. Their character
@@ -63,7 +63,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         kept = F.filter(column, lambda x: F.length(x["value"]) >= shortest)
         return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), x["stop"].alias("stop"), x["value"].alias("value")))
     t = t.select("_id", F.array_sort(F.concat(kind("a", 0, 6), kind("k", 1, 20), kind("h", 2, 24))).alias("base"), "r")
-    free = F.filter("r", lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+    free = F.filter("r", lambda c: F.rlike(c["value"], F.lit("[^0-9]")) & ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
     return t.select("_id", "base", free.alias("runs"))
 
 

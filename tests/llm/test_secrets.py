@@ -20,7 +20,7 @@ def base(text):
 
 def runs(text, spans):
     found = [(m.start(), m.end(), m.group()) for m in re.finditer(S.RUN + "{%d,}" % S.MIN_RUN, text or "")]
-    return [r for r in found if not any(s < r[1] and r[0] < e for s, _, e, _ in spans)]
+    return [r for r in found if not r[2].isdigit() and not any(s < r[1] and r[0] < e for s, _, e, _ in spans)]
 
 
 def joined(spans):
