@@ -12,7 +12,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("mixing", "decontaminate", "toxicity", "secrets", "pseudonyms", "simhash", "exact_dedup")
+MODULES = ("brown_lm", "mixing", "decontaminate", "toxicity", "secrets", "pseudonyms", "simhash", "exact_dedup")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
