@@ -12,7 +12,8 @@ Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("line_dedup", "brown_lm", "mixing", "decontaminate", "toxicity", "secrets", "pseudonyms", "simhash", "exact_dedup")
+MODULES = ("line_dedup", "brown_lm", "mixing", "decontaminate", "toxicity", "secrets",
+           "substring_dedup", "pseudonyms", "simhash", "exact_dedup")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
