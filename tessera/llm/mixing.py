@@ -50,6 +50,7 @@ def seats(parties: DataFrame, by: list[str], name: str, votes: str, total: Colum
     """
     group = Window.partitionBy(*by)
     v = F.col(votes).cast("double")
+    total = F.when(total > 0, total).otherwise(F.lit(1.0))
     p = parties.withColumn("_k", F.count(F.when(v > 0, 1)).over(group)).withColumns({
         "_low": F.greatest(F.lit(0), F.floor(v * F.greatest(F.lit(0.0), house - F.col("_k") / 2) / total + 0.5) - 1),
         "_high": F.ceil(v * (house + F.col("_k") / 2) / total + 0.5) + 1})

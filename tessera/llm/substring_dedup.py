@@ -226,6 +226,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                       F.when(is_copy, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex(F.coalesce("left", "sha")))).alias("kept_sha256"))
 
 
-@query("op7_substring_dedup")
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+f AS (SELECT s, min(doc_id) AS lo FROM x GROUP BY s),
+g AS (SELECT DISTINCT x.doc_id, unnest(range(i, i + {WINDOW})) AS p FROM x JOIN f USING (s) WHERE lo < x.doc_id),
+u AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT u.doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY p) AS kept FROM u ANTI JOIN g ON u.doc_id = g.doc_id AND u.p = g.p GROUP BY u.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op7_substring_dedup", ORACLE)
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
