@@ -5,11 +5,12 @@
 2. Equal fingerprints are one node. A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits.
    With at most 3 differing bits, at least two of the three segments differ in at most one bit.
 3. The binary Golay code (23, 12, distance 7) is perfect: each 23-bit word lies within 3 bits of
-   exactly one codeword. A segment's keys are the indices of the codewords within 4 bits: one to
-   six. Two words that differ in one bit share one: the codeword within 3 bits of either is within
-   4 of the other. So two fingerprints within 3 bits share a key in two segments at once; a key is
-   the pair of codeword indices (24 bits) with the segments' pair number.
-4. Equal keys are joined and the bit distance is verified inside the join, which so gives links only.
+   exactly one codeword, which it decodes to. Of two words that differ in one bit, the codeword of
+   the one lies within 4 bits of the other. A segment has one to six codewords within 4 bits. A key
+   is two codeword indices (24 bits) with the number of the segments' pair: each fingerprint has three
+   keys of its own and meets, as a neighbour, all keys (84 on average) that its lists allow.
+4. Own keys and neighbour keys are joined; the bit distance is verified inside the join, and a link is
+   reported for the first pair of segments only, so the join gives each link once and nothing else.
 5. Components by alternating large-star and small-star rounds over the links, each round written to
    the shared folder.
 
@@ -177,10 +178,24 @@ def codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (words[:, None] ^ PATTERNS[s]) >> 11, N_PATTERNS[s]
 
 
+def _segments(fp: np.ndarray) -> list[np.ndarray]:
+    return [((fp >> U(at)) & U((1 << size) - 1)).astype(np.int64) for at, size in SEGMENTS]
+
+
+def _own(batches):
+    """One key a pair of segments: the codewords that the segments decode to."""
+    for b in batches:
+        fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+        near = [codewords(x)[0][:, 0] for x in _segments(fp)]  # patterns are listed by weight
+        key = np.concatenate([(pair << 24) | (near[i] << 12) | near[j] for pair, (i, j) in enumerate(PAIRS)])
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(np.tile(fp, len(PAIRS)).view(np.int64))], names=["key", "fp"])
+
+
 def _keys(batches):
+    """All keys: the codewords within 4 bits of the segments, a pair of segments at a time."""
     for b in batches:
         fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-        cut = [codewords(((fp >> U(at)) & U((1 << size) - 1)).astype(np.int64)) for at, size in SEGMENTS]
+        cut = [codewords(x) for x in _segments(fp)]
         for pair, (i, j) in enumerate(PAIRS):
             (a, na), (c, nc) = cut[i], cut[j]
             width = a.shape[1]
@@ -191,13 +206,21 @@ def _keys(batches):
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Distinct pairs (a, b) of different fingerprints (column fp of ``nodes``, distinct) within ``max_bits`` <= 3 bits."""
+    """Pairs (a, b), a < b, of different fingerprints (column fp of ``nodes``, distinct) within ``max_bits`` <= 3 bits, each once."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the keys guarantee at most 3 bits")
-    keys = nodes.select("fp").mapInArrow(_keys, "key int, fp long")
-    a, b = keys.withColumnRenamed("fp", "a"), keys.withColumnRenamed("fp", "b")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return a.join(b, (a["key"] == b["key"]) & near).select("a", "b").distinct()
+    a = nodes.select("fp").mapInArrow(_own, "key int, fp long").withColumnRenamed("fp", "a")
+    b = nodes.select("fp").mapInArrow(_keys, "key int, fp long").withColumnRenamed("fp", "b")
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+
+    def close(k: int):
+        at, size = SEGMENTS[k]
+        mask = ((1 << size) - 1) << at
+        return F.bit_count(differ.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))) <= 1
+    # a pair is reported for the first pair of segments in which it is close
+    pair = F.when(close(0) & close(1), 0).when(close(0) & close(2), 1).otherwise(2)
+    near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & (F.shiftright(a["key"], 24) == pair)
+    return a.join(b, (a["key"] == b["key"]) & near).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -82,8 +82,8 @@ def test_keys_share_within_three_bits():
         for z in (x, y):
             import pyarrow as pa
             batch = pa.RecordBatch.from_arrays([pa.array(np.array([z], np.uint64).view(np.int64))], names=["fp"])
-            keys.append({k for out in simhash._keys([batch]) for k in out.column(0).to_pylist()})
-        assert keys[0] & keys[1]
+            keys.append([{k for out in f([batch]) for k in out.column(0).to_pylist()} for f in (simhash._own, simhash._keys)])
+        assert keys[0][0] & keys[1][1] and keys[1][0] & keys[0][1]
 
 
 def test_one_document_of_each_group_stays(spark, docs):
