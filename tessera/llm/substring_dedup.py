@@ -210,7 +210,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     work = stage(work.select("id", "th", "t", "at"))
 
     windows = "w1 long, w2 long, id long, th long, start int"
-    first = work.mapInArrow(_windows, windows).groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
+    first = stage(work.mapInArrow(_windows, windows).groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w1", "w2", "lo"))
     found = work.mapInArrow(_windows, windows).join(first, ["w1", "w2"]).where("id > lo")
     starts = stage(found.groupBy("id", "th").agg(F.collect_list("start").alias("starts")))
     cut = work.select("id", "th", "t").join(starts, ["id", "th"]).select("id", "th", "t", "starts")
