@@ -208,13 +208,7 @@ def extract_entities(c: Column, patterns: Mapping[str, str], distinct: bool = Tr
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def fingerprint(query: Column, category: Column, subcategory: Column, product: Column, limit: Column) -> Column:
-    """MD5 of query_category_subcategory_product_limit; missing parts print as 'None'."""
-    parts = [F.coalesce(x.cast("string"), F.lit("None")) for x in (query, category, subcategory, product, limit)]
+def fingerprint(query: Column, category: Column, product: Column, limit: Column) -> Column:
+    """MD5 of query_category_product_limit; missing parts print as 'None'."""
+    parts = [F.coalesce(x.cast("string"), F.lit("None")) for x in (query, category, product, limit)]
     return F.md5(F.concat_ws("_", *parts))
-
-
-def any_entity_in(text: Column, entities: Column) -> Column:
-    """C14: 0.5 when any entity value occurs in the text as a substring, else 0."""
-    hit = F.exists(F.coalesce(entities, F.array().cast("array<string>")), lambda e: F.instr(text, e) > 0)
-    return F.when(hit, F.lit(0.5)).otherwise(F.lit(0.0))

@@ -133,8 +133,10 @@ def pivot_counts(df: DataFrame, rows: Sequence[Column | str], col: str, values:
 
 
 def duplicate_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact duplicate rows = sum(n - 1) over identical rows (arrays group natively)."""
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    """Exact duplicate rows = sum(n - 1) over identical rows, grouped by a digest of the row."""
+    from tessera.operators.quality import row_digest
+
+    g = df.groupBy(row_digest(df, cols).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.count(F.lit(1)).alias("distinct_rows"),
                  F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 

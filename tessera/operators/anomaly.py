@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numfmt import format_fixed
 from tessera.operators.aggregates import recent_window, scalar_stats
 
-ANOMALY_COLUMNS = ["type", "period", "key", "baseline", "current", "anomaly_score", "is_anomaly", "description"]
+ANOMALY_COLUMNS = ["type", "period", "key", "baseline", "current", "anomaly_score", "is_anomaly", "enough_data", "description"]
 
 
 def baseline_distribution(baseline: DataFrame, dim: str) -> DataFrame:
@@ -40,7 +40,7 @@ def share_ratio(current: DataFrame, baseline: DataFrame, dim: str, period: Seque
     tot = cur.groupBy(*period).agg(F.sum("cur_n").alias("_ct"))
     cur = cur.join(tot, list(period)) if period else cur.crossJoin(F.broadcast(tot))
     base = baseline_distribution(baseline, dim)
-    x = cur.join(F.broadcast(base), "value").where(F.col("base_rate") > 0)  # bounded by distinct values
+    x = cur.join(base, "value").where(F.col("base_rate") > 0)
     rate = F.col("cur_n") / F.col("_ct")
     ratio = rate / F.col("base_rate")
     desc = format_fixed(
@@ -55,6 +55,7 @@ def share_ratio(current: DataFrame, baseline: DataFrame, dim: str, period: Seque
         rate.alias("current"),
         ratio.alias("anomaly_score"),
         ((ratio > threshold) | (ratio < 1.0 / threshold)).alias("is_anomaly"),
+        F.lit(True).alias("enough_data"),
         desc.alias("description"),
     )
 
@@ -62,18 +63,20 @@ def share_ratio(current: DataFrame, baseline: DataFrame, dim: str, period: Seque
 def mean_deviation(current: DataFrame, baseline: DataFrame, period: Sequence[str] = (), threshold: float = 2.0,
                    min_rows: int = 10) -> DataFrame:
     """A4: relative deviation |cur - base| / base of the mean resolution time (the reference calls
-    it a z-score, T13); needs ``min_rows`` rows and a positive baseline."""
+    it a z-score, T13); rows under ``min_rows`` or without a
+    positive baseline stay, with ``enough_data`` false and no flag."""
     b = scalar_stats(baseline).select(F.col("avg_resolution_time").alias("base"))
     c = current.groupBy(*period).agg(F.count(F.lit(1)).alias("_n"),
                                      F.avg(F.coalesce(F.col("resolution_time_hours"), F.lit(0.0))).alias("cur"))
-    x = c.crossJoin(F.broadcast(b)).where((F.col("_n") >= min_rows) & (F.col("base") > 0))  # one-row side
-    score = F.abs(F.col("cur") - F.col("base")) / F.col("base")
+    x = c.crossJoin(F.broadcast(b))  # one-row side
+    enough = (F.col("_n") >= min_rows) & (F.coalesce(F.col("base"), F.lit(0.0)) > 0)
+    score = F.abs(F.col("cur") - F.col("base")) / F.nullif(F.col("base"), F.lit(0.0))
     return x.select(
         F.lit("resolution_time_anomaly").alias("type"),
         (F.concat_ws("|", *[F.col(p).cast("string") for p in period]) if period else F.lit("")).alias("period"),
         F.lit("resolution_time_hours").alias("key"),
         F.col("base").alias("baseline"), F.col("cur").alias("current"), score.alias("anomaly_score"),
-        (score > threshold).alias("is_anomaly"),
+        F.coalesce(enough & (score > threshold), F.lit(False)).alias("is_anomaly"), enough.alias("enough_data"),
         format_fixed("Resolution time anomaly: baseline avg {} hours, current avg {} hours",
                      (F.col("base"), 2), (F.col("cur"), 2)).alias("description"),
     )
@@ -81,19 +84,20 @@ def mean_deviation(current: DataFrame, baseline: DataFrame, period: Sequence[str
 
 def rate_difference(current: DataFrame, baseline: DataFrame, period: Sequence[str] = (), threshold: float = 0.1,
                     min_rows: int = 10) -> DataFrame:
-    """A5: |current success rate - baseline success rate| > threshold with ``min_rows`` rows."""
+    """A5: |current success rate - baseline success rate| > threshold; under ``min_rows`` rows no flag."""
     b = scalar_stats(baseline).select(F.col("success_rate").alias("base"))
     c = current.groupBy(*period).agg(
         F.count(F.lit(1)).alias("_n"),
         F.avg(F.coalesce(F.col("resolution_helpful"), F.lit(False)).cast("double")).alias("cur"))
-    x = c.crossJoin(F.broadcast(b)).where(F.col("_n") >= min_rows)  # one-row side
+    x = c.crossJoin(F.broadcast(b))  # one-row side
+    enough = F.col("_n") >= min_rows
     score = F.abs(F.col("cur") - F.col("base"))
     return x.select(
         F.lit("success_rate_anomaly").alias("type"),
         (F.concat_ws("|", *[F.col(p).cast("string") for p in period]) if period else F.lit("")).alias("period"),
         F.lit("resolution_helpful").alias("key"),
         F.col("base").alias("baseline"), F.col("cur").alias("current"), score.alias("anomaly_score"),
-        (score > threshold).alias("is_anomaly"),
+        F.coalesce(enough & (score > threshold), F.lit(False)).alias("is_anomaly"), enough.alias("enough_data"),
         format_fixed("Success rate anomaly: baseline {}, current {}", (F.col("base"), 4),
                      (F.col("cur"), 4)).alias("description"),
     )
@@ -128,7 +132,7 @@ def sentiment_shift(df: DataFrame, ts_col: str = "created_at", product: str = "p
                     k: float = 2.0, min_weeks: int = 4) -> DataFrame:
     """Weekly negative share per product; rolling mean / sample std over ``window_size``
     weeks (previous + current, T14); flag |share - mean| > k * std when std > 0; products with
-    fewer than ``min_weeks`` weeks are skipped. The week key is date_trunc('week') (T15)."""
+    fewer than ``min_weeks`` weeks get no flag (``enough_data`` false). The week key is date_trunc('week') (T15)."""
     wk = F.date_format(F.date_trunc("week", F.col(ts_col)), "yyyy-MM-dd")
     weekly = df.groupBy(F.col(product).alias("product"), wk.alias("week")).agg(
         F.count(F.lit(1)).alias("total"),
@@ -142,17 +146,18 @@ def sentiment_shift(df: DataFrame, ts_col: str = "created_at", product: str = "p
         F.count(F.lit(1)).over(pw).alias("weeks"),
         F.when(full, F.avg("negative_share").over(w)).alias("rolling_mean"),
         F.when(full, F.stddev_samp("negative_share").over(w)).alias("rolling_std"),
-    ).where(F.col("weeks") >= min_weeks)
-    flag = (F.col("rolling_std") > 0) & (F.abs(F.col("negative_share") - F.col("rolling_mean")) > k * F.col("rolling_std"))
+    )
+    enough = F.col("weeks") >= min_weeks
+    flag = enough & (F.col("rolling_std") > 0) & (F.abs(F.col("negative_share") - F.col("rolling_mean")) > k * F.col("rolling_std"))
     return x.select("product", "week", "total", "negative", "negative_share", "rolling_mean", "rolling_std",
-                    F.coalesce(flag, F.lit(False)).alias("is_anomaly"))
+                    F.coalesce(flag, F.lit(False)).alias("is_anomaly"), enough.alias("enough_data"))
 
 
 def retrieval_failures(log: DataFrame, category: str = "category", success: Column | None = None,
                        min_tickets: int = 100, threshold: float = 0.75) -> DataFrame:
-    """Per category with more than ``min_tickets`` rows, the success rate from a retrieval log;
-    flagged below ``threshold`` (the reference draws a random number here, T17)."""
+    """Per category the success rate from a retrieval log; flagged below ``threshold`` where there
+    are more than ``min_tickets`` rows (the reference draws a random number here, T17)."""
     s = success if success is not None else F.col("success").cast("double")
     g = log.groupBy(category).agg(F.count(F.lit(1)).alias("tickets"), F.avg(s).alias("success_rate"))
-    return g.where(F.col("tickets") > min_tickets).select(
-        "*", (F.col("success_rate") < threshold).alias("is_anomaly"))
+    enough = F.col("tickets") > min_tickets
+    return g.select("*", F.coalesce(enough & (F.col("success_rate") < threshold), F.lit(False)).alias("is_anomaly"), enough.alias("enough_data"))

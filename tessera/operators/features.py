@@ -16,13 +16,13 @@ from tessera.functions.text import tokens
 
 # ---------------------------------------------------------------- X3 / M3
 def fit_label_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, code): sorted distinct values -> 0-based code per column.
+    """(column, value, code): sorted distinct values -> 0-based code per column; null counts as 'unknown'.
 
     The window runs over the distinct (column, value) table, whose size is the columns'
     cardinality, not the row count."""
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")
-    ).select("p.column", "p.value").where(F.col("value").isNotNull()).distinct()
+        F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in columns])).alias("p")
+    ).select("p.column", "p.value").distinct()
     return pairs.withColumn("code", (F.dense_rank().over(Window.partitionBy("column").orderBy("value")) - 1).cast("long"))
 
 
@@ -30,19 +30,12 @@ def apply_label_index(df: DataFrame, index: DataFrame, columns: Sequence[str], u
     """Code columns ``<col>_code``; values missing from the index get ``unseen`` (T8: per row)."""
     out = df
     for c in columns:
-        m = F.broadcast(index.where(F.col("column") == c).select(F.col("value").alias(f"_{c}_v"),
-                                                               F.col("code").alias(f"{c}_code")))
-        out = out.join(m, out[c].cast("string") == m[f"_{c}_v"], "left").drop(f"_{c}_v")
+        m = index.where(F.col("column") == c).select(F.col("value").alias(f"_{c}_v"), F.col("code").alias(f"{c}_code"))
+        out = out.join(m, F.coalesce(out[c].cast("string"), F.lit("unknown")) == m[f"_{c}_v"], "left").drop(f"_{c}_v")
         out = out.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(unseen).cast("long")))
     return out
 
 
-def unseen_values(df: DataFrame, index: DataFrame, column: str) -> DataFrame:
-    """Rows whose value is absent from the fitted index (left anti join)."""
-    known = index.where(F.col("column") == column).select(F.col("value").alias(column))
-    return df.join(known, column, "left_anti")
-
-
 # ---------------------------------------------------------------- X4
 def fit_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: mean and population std per column (zero std -> 1, T5)."""
@@ -63,7 +56,7 @@ def apply_scaling(df: DataFrame, moments: DataFrame, columns: Sequence[str]) ->
 # ---------------------------------------------------------------- X9 / X10
 def word_index(docs: DataFrame, text_col: str, num_words: int = 10000) -> DataFrame:
     """(word, code): codes from 2 by count desc, word asc; only codes < num_words (1 = OOV)."""
-    w = docs.select(F.explode(tokens(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    w = docs.select(F.explode_outer(tokens(F.col(text_col))).alias("word")).where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     top = w.orderBy(F.col("n").desc(), F.col("word")).limit(max(num_words - 2, 0))  # bounded by num_words
     return top.select("word", (F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("word"))) + 1)
                       .cast("long").alias("code"))
@@ -71,7 +64,7 @@ def word_index(docs: DataFrame, text_col: str, num_words: int = 10000) -> DataFr
 
 def to_sequences(docs: DataFrame, id_col: str, text_col: str, index: DataFrame, oov: int = 1) -> DataFrame:
     """(id, pos, code) for every token, OOV -> ``oov`` (a long table instead of lists)."""
-    ex = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "word"))
+    ex = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(tokens(F.col(text_col))).alias("pos", "word")).where("word is not null")
     j = ex.join(F.broadcast(index), "word", "left")
     return j.select("id", F.col("pos").cast("long").alias("pos"),
                     F.coalesce(F.col("code"), F.lit(oov).cast("long")).alias("code"))
@@ -131,7 +124,7 @@ def with_rule_language(df: DataFrame, text_col: str, out: str, id_col: str = "id
     Only marker hits are shuffled; rows without any hit get 'en'."""
     spark = df.sparkSession
     mk = spark.createDataFrame([(w, lang) for lang, ws in markers.items() for w in ws], "word string, lang string")
-    hits = (df.select(F.col(id_col).alias("_rl_id"), F.explode(tokens(F.col(text_col))).alias("word"))
+    hits = (df.select(F.col(id_col).alias("_rl_id"), F.explode_outer(tokens(F.col(text_col))).alias("word"))
             .join(F.broadcast(mk), "word").groupBy("_rl_id", "lang").agg(F.count(F.lit(1)).alias("_c")))
     # arg-max per row: highest count, ties to the alphabetically first language
     best = hits.groupBy("_rl_id").agg(F.min_by("lang", F.struct((-F.col("_c")).alias("c"), F.col("lang"))).alias("_lang"))

@@ -10,10 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Default bound on the document frequency of an entity that is expanded into document pairs.
-MAX_PAIR_DF = 1000
-
-
 def solution_node(doc_id: Column) -> Column:
     return F.concat(F.lit("solution_"), doc_id.cast("string"))
 
@@ -73,26 +69,28 @@ def entity_df(entities: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("df"))
 
 
-def cooccurrence(entities: DataFrame, max_pair_df: int = MAX_PAIR_DF) -> tuple[DataFrame, DataFrame]:
-    """Document pairs (a < b) sharing entities, with the number of shared (type, value).
+def cooccurrence(entities: DataFrame) -> DataFrame:
+    """The co-occurrence relation without listing it: (doc_id, type, value, df, pairs).
 
-    Entities found in more than ``max_pair_df`` documents are not expanded into pairs (a
-    quadratic blow-up for a hot entity); they are returned whole as a second table
-    (type, value, df, pairs = df(df-1)/2), which with the membership table states the rest of the
-    relation exactly. The pair join is an equi-join on (type, value) whose per-key size is bounded
-    by ``max_pair_df``.
+    All documents with the same (type, value) co-occur, so the membership rows with the number of
+    documents df and of document pairs df(df-1)/2 state the relation exactly, however hot the value.
     """
     ent = entities.select("doc_id", "type", "value").distinct()
-    dfs = entity_df(ent)
-    cool = dfs.where(F.col("df") <= max_pair_df).select("type", "value")
-    hot = dfs.where(F.col("df") > max_pair_df).select(
-        "type", "value", "df", (F.col("df") * (F.col("df") - 1) / 2).cast("long").alias("pairs"))
-    e = ent.join(cool, ["type", "value"], "left_semi")
-    a = e.select(F.col("doc_id").alias("doc_a"), "type", "value")
-    b = e.select(F.col("doc_id").alias("doc_b"), "type", "value")
-    pairs = a.join(b, ["type", "value"]).where(F.col("doc_a") < F.col("doc_b")).groupBy("doc_a", "doc_b").agg(
+    return ent.join(entity_df(ent), ["type", "value"]).select(
+        "doc_id", "type", "value", "df", (F.col("df") * (F.col("df") - 1) / 2).cast("long").alias("pairs"))
+
+
+def anchor_pairs(entities: DataFrame, anchors: DataFrame, block: int = 10_000) -> DataFrame:
+    """J7 for a query set: (doc_a, doc_b, common) of each anchor document (column doc_id) with every
+    other document that shares entities. The members of a value are dealt to blocks of about
+    ``block`` documents, so a hot value is many join keys."""
+    ent = entities.select("doc_id", "type", "value").distinct()
+    member = ent.join(entity_df(ent).select("type", "value", F.ceil(F.col("df") / block).alias("_nb")), ["type", "value"])
+    a = member.join(anchors.select("doc_id").distinct(), "doc_id", "left_semi").select(
+        F.col("doc_id").alias("doc_a"), "type", "value", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)).alias("_b"))
+    b = member.select(F.col("doc_id").alias("doc_b"), "type", "value", F.pmod(F.xxhash64("doc_id"), F.col("_nb")).alias("_b"))
+    return a.join(b, ["type", "value", "_b"]).where(F.col("doc_a") != F.col("doc_b")).groupBy("doc_a", "doc_b").agg(
         F.count(F.lit(1)).alias("common"))
-    return pairs, hot
 
 
 def stats(n: DataFrame, e: DataFrame) -> DataFrame:

@@ -35,12 +35,35 @@ TICKET_SCHEMA = T.StructType([
     T.StructField("tags", T.ArrayType(T.StringType())),
 ])
 REQUIRED = ("subject", "description")
-TEXT_COLUMNS = ("subject", "description", "error_logs", "stack_trace", "feedback_text", "resolution")
-CATEGORICAL_COLUMNS = ("customer_tier", "product", "product_version", "product_module", "channel",
-                       "agent_specialization", "environment", "business_impact", "language", "region")
+# Text and categorical columns of the feature store (fixed values).
+TEXT_COLUMNS = ("subject", "description", "error_logs", "feedback_text")
+CATEGORICAL_COLUMNS = ("product", "product_version", "product_module", "channel",
+                       "customer_tier", "agent_specialization", "environment",
+                       "business_impact", "language", "region")
+# Further text columns of the ticket schema, filled alike.
+MORE_TEXT_COLUMNS = ("stack_trace", "resolution")
 TARGET_COLUMNS = ("category", "subcategory", "priority", "severity")
 # Defaults of the prediction request (fixed values).
-REQUEST_DEFAULTS = {"language": "en", "region": "NA", "feedback_text": ""}
+REQUEST_DEFAULTS = {
+    "feedback_text": "",
+    "product_version": "unknown",
+    "product_module": "unknown",
+    "channel": "email",
+    "agent_specialization": "unknown",
+    "environment": "production",
+    "business_impact": "medium",
+    "language": "en",
+    "region": "NA",
+    "previous_tickets": 0,
+    "agent_experience_months": 12,
+    "account_age_days": 365,
+    "account_monthly_value": 1000.0,
+    "similar_issues_last_30_days": 0,
+    "product_version_age_days": 100,
+    "affected_users": 1,
+    "response_count": 0,
+    "attachments_count": 0,
+}  # ticket_text_length, the nineteenth, is computed (``preprocess``)
 
 
 def project(df: DataFrame, schema: T.StructType = TICKET_SCHEMA) -> DataFrame:
@@ -57,7 +80,7 @@ def fill_by_kind(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
-        if f.name in TEXT_COLUMNS:
+        if f.name in TEXT_COLUMNS + MORE_TEXT_COLUMNS:
             c = F.coalesce(c, F.lit(""))
         elif f.name in CATEGORICAL_COLUMNS or f.name in TARGET_COLUMNS:
             c = F.coalesce(c, F.lit("unknown"))
@@ -70,7 +93,7 @@ def fill_by_kind(df: DataFrame) -> DataFrame:
 def apply_defaults(df: DataFrame, defaults: Mapping[str, object] = REQUEST_DEFAULTS) -> DataFrame:
     """coalesce listed columns with their default (explicit nulls included, T9)."""
     return df.select(*[
-        (F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c)) for c in df.columns
+        (F.coalesce(F.col(c), F.lit(defaults[c]).cast(t)).alias(c) if c in defaults else F.col(c)) for c, t in df.dtypes
     ])
 
 
@@ -97,6 +120,11 @@ def required_rules(columns: Sequence[str] = REQUIRED, max_len: int | None = 1000
     return rules
 
 
+def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """SHA-256 of the columns' JSON: equal for equal rows, nulls and arrays included."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
 def dq_report(df: DataFrame, null_columns: Sequence[str], dup_columns: Sequence[str],
               issue_rules: Mapping[str, Column]) -> DataFrame:
     """(metric, value) rows from one aggregate pass plus one duplicate count.
@@ -107,7 +135,8 @@ def dq_report(df: DataFrame, null_columns: Sequence[str], dup_columns: Sequence[
     aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in null_columns]
     aggs += [F.count_if(cond).alias(f"issue_{name}") for name, cond in issue_rules.items()]
     one = df.agg(*aggs)
-    dups = df.groupBy(*dup_columns).agg(F.count(F.lit(1)).alias("_n")).agg(
+    # grouped by a digest: whole texts are not shuffled as keys
+    dups = df.groupBy(row_digest(df, dup_columns).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
     both = one.crossJoin(dups)  # two one-row frames
     names = [a for a in both.columns]

@@ -70,11 +70,10 @@ class SolutionIndex:
     def postings(self) -> DataFrame:
         return self.tfidf.weights
 
-    def cache(self) -> "SolutionIndex":
-        self.docs = self.docs.cache()
-        self.tfidf = TfidfModel(self.tfidf.cfg, self.tfidf.vocab.cache(), self.tfidf.weights.cache())
-        self.entities = self.entities.cache()
-        return self
+    def release(self) -> None:
+        """Drop the materialised index tables."""
+        for t in (self.docs, self.tfidf.vocab, self.tfidf.weights, self.entities):
+            t.unpersist()
 
 
 def _col_or_null(df: DataFrame, name: str, dtype: str = "string") -> Column:
@@ -89,8 +88,8 @@ def prepare_solutions(solutions: DataFrame, mode: str = "fast") -> DataFrame:
     sat = _col_or_null(solutions, "satisfaction_score", "double")
     if mode == "ultra":
         s, d = T.normalise(subj), T.normalise(desc)
-        text = F.substring(F.concat(s, F.lit(" "), d), 1, 500)
-        title, content = F.substring(s, 1, 100), F.substring(d, 1, 200)
+        text = F.concat(s, F.lit(" "), d)
+        title, content = F.substring(s, 1, 100), F.substring(d, 1, 200)  # previews (F11); the whole text is indexed
     else:
         s, d = T.normalise(subj), T.normalise(desc)
         text = T.combine_text(s, d, T.normalise(logs))
@@ -110,8 +109,8 @@ def prepare_solutions(solutions: DataFrame, mode: str = "fast") -> DataFrame:
 
 def doc_entities(docs: DataFrame, patterns: dict, distinct: bool = True, text_col: str = "text") -> DataFrame:
     """(doc_id, type, value) entity postings (C4-C6 exploded)."""
-    e = docs.select("doc_id", F.explode(T.extract_entities(F.col(text_col), patterns, distinct)).alias("e"))
-    return e.select("doc_id", F.col("e.type").alias("type"), F.col("e.value").alias("value"))
+    e = docs.select("doc_id", F.explode_outer(T.extract_entities(F.col(text_col), patterns, distinct)).alias("e"))
+    return e.where("e is not null").select("doc_id", F.col("e.type").alias("type"), F.col("e.value").alias("value"))
 
 
 def build_index(solutions: DataFrame, mode: str = "fast", tfidf_cfg: TfidfConfig | None = None,
@@ -142,8 +141,8 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
 
 
 def query_entities(q: DataFrame, patterns: dict) -> DataFrame:
-    e = q.select("query_id", F.explode(T.extract_entities(F.col("q_text"), patterns, True)).alias("e"))
-    return e.select("query_id", F.col("e.type").alias("type"), F.col("e.value").alias("value"))
+    e = q.select("query_id", F.explode_outer(T.extract_entities(F.col("q_text"), patterns, True)).alias("e"))
+    return e.where("e is not null").select("query_id", F.col("e.type").alias("type"), F.col("e.value").alias("value"))
 
 
 # --------------------------------------------------------------------------------------------
@@ -311,20 +310,17 @@ def top_k(df: DataFrame, k: int, order: list[Column], rank_col: str = "rank") ->
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def first_docs(index: SolutionIndex, q: DataFrame, n: int, filtered: bool) -> DataFrame:
-    """The first ``n`` documents by doc_id per query (optionally passing its filters).
+def first_docs(index: SolutionIndex, q: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` documents by doc_id that pass each query's filters.
 
     Used to fill result lists with zero-score documents, as the reference's dense scoring does.
     Queries are grouped by their filter tuple; each null pattern is an equi-join on the set
     columns (the all-null tuple is at most one row), then a per-tuple top-n.
     """
     docs = index.docs.select("doc_id", "category", "subcategory", "product")
-    keys = ["q_category", "q_subcategory", "q_product"] if filtered else []
-    tuples = q.select(*keys).distinct() if keys else None
+    keys = ["q_category", "q_subcategory", "q_product"]
+    tuples = q.select(*keys).distinct()
     parts = []
-    if not filtered:
-        top = docs.orderBy("doc_id").limit(n).select("doc_id")
-        return q.select("query_id").crossJoin(F.broadcast(top))  # n rows, bounded by the limit
     doc_key = {"q_category": "category", "q_subcategory": "subcategory", "q_product": "product"}
     for mask in range(8):
         set_cols = [k for i, k in enumerate(keys) if mask >> i & 1]
@@ -353,12 +349,10 @@ def first_docs(index: SolutionIndex, q: DataFrame, n: int, filtered: bool) -> Da
 # --------------------------------------------------------------------------------------------
 # Compositions
 # --------------------------------------------------------------------------------------------
-def search_fast(index: SolutionIndex, queries: DataFrame, limit: int = 10, filter_first: bool = True,
-                prefilter_factor: int = 2) -> DataFrame:
-    """Keyword (floor .01) + entity + category boost, .6/.25/.15; then top 2*limit, filter,
-    limit, and re-rank by .7*relevance + .3*success (K12). ``filter_first`` (default) filters
-    before the 2*limit cut so a query always gets up to ``limit`` results (T19); False keeps the
-    reference's cut-then-filter order (K0b)."""
+def search_fast(index: SolutionIndex, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """Keyword (floor .01) + entity + category boost, .6/.25/.15; filter, top ``limit``, and
+    re-rank by .7*relevance + .3*success (K12). Filters come before any cut, so a query gets up to
+    ``limit`` results whenever they exist (T19, K0b)."""
     q = prepare_queries(queries)
     merged = merge_scores(
         {
@@ -372,11 +366,7 @@ def search_fast(index: SolutionIndex, queries: DataFrame, limit: int = 10, filte
     cond = filter_condition(F.col("category"), F.col("subcategory"), F.col("product"),
                             F.col("q_category"), F.col("q_subcategory"), F.col("q_product"))
     order = [F.col("relevance_score").desc()]
-    if filter_first:
-        cand = top_k(rows.where(cond), limit, order, "_pre")
-    else:
-        cand = top_k(rows, prefilter_factor * limit, order, "_pre").where(cond)
-        cand = top_k(cand.drop("_pre"), limit, order, "_pre")
+    cand = top_k(rows.where(cond), limit, order, "_pre")
     final = r6(F.lit(0.7) * F.col("relevance_score") + F.lit(0.3) * F.col("success_rate"))
     out = top_k(cand, limit, [final.desc(), F.col("_pre").asc()], "rank")
     return out.select(
@@ -416,7 +406,7 @@ def search_full(index: SolutionIndex, queries: DataFrame, limit: int = 10, doc_e
         frames["semantic"] = semantic_scores(doc_embeddings, query_embeddings)
         weights = FULL_WEIGHTS
     k2 = 2 * limit
-    fill = first_docs(index, q, k2, filtered=True).select(
+    fill = first_docs(index, q, k2).select(
         "query_id", "doc_id", F.lit(0.0).alias("keyword_score"))
     frames["keyword"] = frames["keyword"].unionByName(fill)
     merged = merge_scores(frames, weights)
@@ -439,20 +429,19 @@ def search_full(index: SolutionIndex, queries: DataFrame, limit: int = 10, doc_e
 
 
 def search_ultra(index: SolutionIndex, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """Keyword only; top 3*limit (zero scores included, doc_id order), filter on category and
-    product, first ``limit``; entity score .5 if any document entity occurs in the query text,
-    category score .8 on a category match."""
+    """Keyword only (zero scores included, doc_id order); filter on category and product, then
+    the first ``limit``; entity score .5 if any document entity occurs in the query text, category
+    score .8 on a category match."""
     q = prepare_queries(queries)
-    k3 = 3 * limit
+    fill = first_docs(index, q.withColumn("q_subcategory", F.lit(None).cast("string")), limit)
     kw = keyword_scores(index, q).unionByName(
-        first_docs(index, q, k3, filtered=False).select("query_id", "doc_id", F.lit(0.0).alias("keyword_score"))
+        fill.select("query_id", "doc_id", F.lit(0.0).alias("keyword_score"))
     ).groupBy("query_id", "doc_id").agg(F.max("keyword_score").alias("keyword_score"))
     kw = kw.withColumn("keyword_score", r6(F.col("keyword_score")))
-    cand = top_k(kw, k3, [F.col("keyword_score").desc()], "_pre")
-    rows = with_doc_fields(cand, index, q)
+    rows = with_doc_fields(kw, index, q)
     cond = filter_condition(F.col("category"), F.lit(None), F.col("product"),
                             F.col("q_category"), F.lit(None).cast("string"), F.col("q_product"))
-    out = top_k(rows.where(cond), limit, [F.col("_pre").asc()], "rank").join(q.select("query_id", "q_text"), "query_id")
+    out = top_k(rows.where(cond), limit, [F.col("keyword_score").desc()], "rank").join(q.select("query_id", "q_text"), "query_id")
     # C14 on the (small) result rows only: candidates x their entity postings
     hit = (
         out.select("query_id", "doc_id", "q_text")

@@ -20,7 +20,7 @@ _LOW = (1 << 33) - 1
 
 def row_index(df: DataFrame, order: Sequence[str], out: str = "row_idx", partitions: int | None = None) -> DataFrame:
     """0-based position of each row in the order of ``order`` (ties must not occur: include a key)."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
@@ -72,7 +72,7 @@ def split_stratified(df: DataFrame, id_col: str, stratum: str, seed: int = 42,
     keyed = df.withColumn("_k", seeded_key(id_col, seed))
     idx = row_index(keyed, [stratum, "_k", id_col])
     first = idx.groupBy(stratum).agg(F.min("row_idx").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    j = idx.join(F.broadcast(first), stratum)  # one row per stratum
+    j = idx.join(first, stratum)
     pos = F.col("row_idx") - F.col("_first")
     return j.withColumn("split", split_label(pos, F.col("_n"), fractions, names)).drop("_k", "row_idx", "_first", "_n")
 

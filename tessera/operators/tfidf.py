@@ -1,4 +1,4 @@
-"""Relational TF-IDF.
+"""Relational TF-IDF.
 
 The vectoriser is expressed as joins and aggregates over a long ``(doc_id, term, tf)`` table, so
 nothing is densified and nothing passes through the driver:
@@ -14,7 +14,7 @@ The vocabulary is broadcast only when ``max_features`` bounds it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -41,23 +41,16 @@ class TfidfConfig:
 # Vectoriser settings of the reference's components (fixed values).
 CONFIGS: dict[str, TfidfConfig] = {
     "feature_store": TfidfConfig(max_features=1000, ngram_range=(1, 2), min_df=2, max_df=0.95),
-    "full": TfidfConfig(max_features=5000, ngram_range=(1, 3), min_df=1, max_df=0.95),
-    "fast": TfidfConfig(max_features=2000, ngram_range=(1, 2), min_df=2, max_df=0.9, strip_accents=True),
-    "ultra": TfidfConfig(max_features=1000, ngram_range=(1, 2), min_df=3, max_df=0.8, strip_accents=True),
-    "notebook_sublinear": TfidfConfig(max_features=5000, ngram_range=(1, 2), sublinear_tf=True),
+    "vocabulary": TfidfConfig(max_features=5000, ngram_range=(1, 3), min_df=1, max_df=0.95),
+    "notebook_sublinear": TfidfConfig(max_features=5000, ngram_range=(1, 2), min_df=2, max_df=0.95, sublinear_tf=True),
     "notebook_unigram": TfidfConfig(max_features=5000, ngram_range=(1, 1)),
+    # the searches index every term, so that every word can be searched
+    "full": TfidfConfig(ngram_range=(1, 3), min_df=1, max_df=0.95),
+    "fast": TfidfConfig(ngram_range=(1, 2), min_df=2, max_df=0.9, strip_accents=True),
+    "ultra": TfidfConfig(ngram_range=(1, 2), min_df=3, max_df=0.8, strip_accents=True),
 }
 
 
-def adaptive_config(n_docs: int, base: TfidfConfig = CONFIGS["feature_store"]) -> TfidfConfig:
-    """Size-adaptive parameters of the feature store (driver-side choice from a count)."""
-    if n_docs < 100:
-        cfg = replace(base, min_df=1, max_features=min(500, 10 * n_docs))
-    else:
-        cfg = replace(base, min_df=2, max_features=1000)
-    return replace(cfg, max_df=1.0 if n_docs == 1 else 0.95)
-
-
 def term_frequencies(docs: DataFrame, id_col: str, text_col: str, cfg: TfidfConfig,
                      colocate: bool = True) -> DataFrame:
     """(doc_id, term, tf): analysed terms counted per document.
@@ -69,7 +62,9 @@ def term_frequencies(docs: DataFrame, id_col: str, text_col: str, cfg: TfidfConf
     if colocate:
         base = base.repartition("doc_id")
     base = with_terms(base, "_text", "_terms", cfg.ngram_range, cfg.stop_list(), cfg.strip_accents)
-    terms = base.select("doc_id", F.explode("_terms").alias("term"))
+    # explode_outer: plain explode infers a filter on the array's size, which is pushed below the
+    # exchange and runs the tokeniser a second time, in the scan tasks
+    terms = base.select("doc_id", F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
     return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,23 +43,20 @@ def share_of_total(df: DataFrame, part: Sequence[str], col: str = "n", out: str
     return df.select("*", (F.col(col) / F.sum(col).over(w)).alias(out))
 
 
-def max_normalise(df: DataFrame, part: Sequence[str], col: str) -> DataFrame:
-    """W4 for small per-group tables (use the aggregate-join form for large ones)."""
-    w = Window.partitionBy(*part)
-    return df.withColumn(col, F.col(col) / F.max(col).over(w))
-
-
-def concurrency(df: DataFrame, key: str, start: str, end: str, bucket: str = "day") -> DataFrame:
+def concurrency(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """In-progress gauge. +1 at each start, -1 at each end, running sum per key in time order.
 
-    A running sum over one window per key would put a hot key in one task, so it is a two-level
-    prefix sum: per (key, time bucket) running sums, plus the totals of all earlier buckets of
-    the key (a window over bucket totals, one row per bucket).
+    A running sum over one window per key would put a hot key in one task, so it is a prefix sum in
+    two levels: rows are range-partitioned by (key, time) into ranges of like size, running sums are
+    taken inside each (range, key), and the totals of a key's earlier ranges (one row per range and
+    key) are added.
     """
     ev = df.select(F.col(key), F.col(start).alias("ts"), F.lit(1).alias("d")).unionByName(
         df.select(F.col(key), F.col(end).alias("ts"), F.lit(-1).alias("d")))
     per_ts = (ev.where(F.col("ts").isNotNull()).groupBy(key, "ts").agg(F.sum("d").alias("delta"))
-              .withColumn("_b", F.date_trunc(bucket, "ts")))
+              )
+    # range number = partition number; persisted, so that both branches see the same ranges
+    per_ts = per_ts.repartitionByRange(key, "ts").withColumn("_b", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     local = per_ts.select("*", F.sum("delta").over(
         Window.partitionBy(key, "_b").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)).alias("_local"))
     totals = per_ts.groupBy(key, "_b").agg(F.sum("delta").alias("_t"))

@@ -153,12 +153,12 @@ def rolling_sentiment(spark, sf):
 
 @query("anomaly_sentiment_shift", with_views(f"""
 SELECT product, week, total, negative, negative_share, rolling_mean, rolling_std,
-       coalesce(rolling_std > 0 AND abs(negative_share - rolling_mean) > 2 * rolling_std, false) AS is_anomaly
+       coalesce(weeks >= 4 AND rolling_std > 0 AND abs(negative_share - rolling_mean) > 2 * rolling_std, false) AS is_anomaly,
+       weeks >= 4 AS enough_data
 FROM (SELECT *, count(*) OVER (PARTITION BY product) AS weeks,
   CASE WHEN count(negative_share) OVER w = 2 THEN avg(negative_share) OVER w END AS rolling_mean,
   CASE WHEN count(negative_share) OVER w = 2 THEN stddev_samp(negative_share) OVER w END AS rolling_std
-  FROM ({WEEKLY_SQL}) WINDOW w AS (PARTITION BY product ORDER BY week ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))
-WHERE weeks >= 4"""))
+  FROM ({WEEKLY_SQL}) WINDOW w AS (PARTITION BY product ORDER BY week ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))"""))
 def anomaly_sentiment_shift(spark, sf):
     return A.sentiment_shift(v_event(spark, sf))
 
@@ -257,7 +257,7 @@ def _share_sql(dim: str, kind: str, text: str) -> str:
     return with_views(f"""
 SELECT '{kind}' AS type, c.period, c.value AS key, b.base_rate AS baseline, c.cur_n / c.ct AS current,
        (c.cur_n / c.ct) / b.base_rate AS anomaly_score,
-       ((c.cur_n / c.ct) / b.base_rate > 2.0 OR (c.cur_n / c.ct) / b.base_rate < 0.5) AS is_anomaly,
+       ((c.cur_n / c.ct) / b.base_rate > 2.0 OR (c.cur_n / c.ct) / b.base_rate < 0.5) AS is_anomaly, true AS enough_data,
        printf('{text}', c.value, b.base_rate, c.cur_n / c.ct) AS description
 FROM (SELECT period, value, cur_n, sum(cur_n) OVER (PARTITION BY period) AS ct FROM (
         SELECT {SQL_HOUR} AS period, coalesce({dim}, 'unknown') AS value, count(*) AS cur_n FROM v_event GROUP BY 1, 2)) c
@@ -283,20 +283,19 @@ def anomaly_sentiment(spark, sf):
 
 RES_SQL = f"""
 SELECT 'resolution_time_anomaly' AS type, c.period, 'resolution_time_hours' AS key, b.base AS baseline, c.cur AS current,
-       abs(c.cur - b.base) / b.base AS anomaly_score, abs(c.cur - b.base) / b.base > 2.0 AS is_anomaly,
+       abs(c.cur - b.base) / b.base AS anomaly_score, coalesce(c.n >= 10 AND b.base > 0 AND abs(c.cur - b.base) / b.base > 2.0, false) AS is_anomaly,
+       c.n >= 10 AND coalesce(b.base, 0) > 0 AS enough_data,
        printf('Resolution time anomaly: baseline avg %.2f hours, current avg %.2f hours', b.base, c.cur) AS description
 FROM (SELECT {{period}} AS period, count(*) AS n, avg(coalesce(resolution_time_hours, 0.0)) AS cur FROM v_event GROUP BY 1) c,
-     (SELECT avg(resolution_time_hours) AS base FROM {BASE_SQL}) b
-WHERE c.n >= 10 AND b.base > 0"""
+     (SELECT avg(resolution_time_hours) AS base FROM {BASE_SQL}) b"""
 
 SUCC_SQL = f"""
 SELECT 'success_rate_anomaly' AS type, c.period, 'resolution_helpful' AS key, b.base AS baseline, c.cur AS current,
-       abs(c.cur - b.base) AS anomaly_score, abs(c.cur - b.base) > 0.1 AS is_anomaly,
+       abs(c.cur - b.base) AS anomaly_score, c.n >= 10 AND abs(c.cur - b.base) > 0.1 AS is_anomaly, c.n >= 10 AS enough_data,
        printf('Success rate anomaly: baseline %.4f, current %.4f', b.base, c.cur) AS description
 FROM (SELECT {{period}} AS period, count(*) AS n,
              avg(CAST(coalesce(resolution_helpful, false) AS DOUBLE)) AS cur FROM v_event GROUP BY 1) c,
-     (SELECT avg(CAST(resolution_helpful AS DOUBLE)) AS base FROM {BASE_SQL}) b
-WHERE c.n >= 10"""
+     (SELECT avg(CAST(resolution_helpful AS DOUBLE)) AS base FROM {BASE_SQL}) b"""
 
 
 @query("anomaly_resolution", with_views(RES_SQL.format(period=SQL_HOUR)))
@@ -333,7 +332,7 @@ def anomaly_all(spark, sf):
 
 @query("retrieval_failures", with_views("""
 SELECT category, count(*) AS tickets, avg(CAST(resolution_helpful AS DOUBLE)) AS success_rate,
-       avg(CAST(resolution_helpful AS DOUBLE)) < 0.75 AS is_anomaly
-FROM v_text GROUP BY category HAVING count(*) > 100"""))
+       count(*) > 100 AND avg(CAST(resolution_helpful AS DOUBLE)) < 0.75 AS is_anomaly, count(*) > 100 AS enough_data
+FROM v_text GROUP BY category"""))
 def retrieval_failures(spark, sf):
     return A.retrieval_failures(v_text(spark, sf), "category", F.col("resolution_helpful").cast("double"))

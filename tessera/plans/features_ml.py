@@ -37,8 +37,8 @@ def _predictions(spark, sf):
 @query("label_encode", S.with_views("""
 SELECT column_name AS "column", value, CAST(dense_rank() OVER (PARTITION BY column_name ORDER BY value) - 1 AS BIGINT) AS code
 FROM (SELECT DISTINCT column_name, value FROM (
-  SELECT 'category' AS column_name, category AS value FROM v_text UNION ALL SELECT 'product', product FROM v_text
-  UNION ALL SELECT 'subcategory', subcategory FROM v_text) WHERE value IS NOT NULL)"""))
+  SELECT 'category' AS column_name, coalesce(category, 'unknown') AS value FROM v_text UNION ALL SELECT 'product', coalesce(product, 'unknown') FROM v_text
+  UNION ALL SELECT 'subcategory', coalesce(subcategory, 'unknown') FROM v_text))"""))
 def label_encode(spark, sf):
     return X.fit_label_index(v_text(spark, sf), ["category", "product", "subcategory"])
 

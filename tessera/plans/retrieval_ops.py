@@ -75,10 +75,10 @@ def search_keyword(spark, sf):
 
 @query("tfidf_vocab", S.with_views("SELECT term, df, round(idf, 6) AS idf FROM t_vocab",
                                    _docs_cte("docs", "v_text"),
-                                   *S.tfidf_ctes("t", "docs", "doc_id", "text", CONFIGS["full"])))
+                                   *S.tfidf_ctes("t", "docs", "doc_id", "text", CONFIGS["vocabulary"])))
 def tfidf_vocab(spark, sf):
     docs = R.prepare_solutions(v_text(spark, sf), "full")
-    m = fit_transform(docs, "doc_id", "text", CONFIGS["full"])
+    m = fit_transform(docs, "doc_id", "text", CONFIGS["vocabulary"])
     return m.vocab.select("term", "df", R.r6(F.col("idf")).alias("idf"))
 
 
@@ -233,20 +233,24 @@ def graph_taxonomy(spark, sf):
     return H.taxonomy_edges(v_text(spark, sf).withColumnRenamed("id", "doc_id"))
 
 
-@query("join_cooccurrence", """
-WITH de AS (SELECT DISTINCT doc_id, e.type AS type, e.value AS value FROM (
-  SELECT doc_id, unnest(""" + S.entity_list("text", {"codes": FAST["codes"]}) + """) AS e FROM documents)),
-cool AS (SELECT type, value FROM de GROUP BY type, value HAVING count(*) <= 1000)
-SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common
-FROM de a JOIN de b ON a.type = b.type AND a.value = b.value AND a.doc_id < b.doc_id
-WHERE (a.type, a.value) IN (SELECT (type, value) FROM cool)
-GROUP BY a.doc_id, b.doc_id""")
+COOC_SQL = """WITH de AS (SELECT DISTINCT doc_id, e.type AS type, e.value AS value FROM (
+  SELECT doc_id, unnest(""" + S.entity_list("text", FAST) + """) AS e FROM documents)),
+n AS (SELECT type, value, count(*) AS df FROM de GROUP BY type, value)
+"""
+
+
+@query("join_cooccurrence", COOC_SQL + """SELECT doc_id, type, value, df, CAST(df * (df - 1) / 2 AS BIGINT) AS pairs FROM de JOIN n USING (type, value)""")
 def join_cooccurrence(spark, sf):
-    """Document pairs sharing 3-4 digit codes (entities in more than 1,000 documents
-    are kept whole in the hot table instead of being expanded into pairs)."""
-    ents = R.doc_entities(table(spark, sf, "documents"), {"codes": FAST["codes"]})
-    pairs, _hot = H.cooccurrence(ents)
-    return pairs
+    """Documents that share entities of any pattern, as membership rows with df and pairs."""
+    return H.cooccurrence(R.doc_entities(table(spark, sf, "documents"), FAST))
+
+
+@query("cooccurrence_anchors", COOC_SQL + """SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common
+FROM de a JOIN de b ON a.type = b.type AND a.value = b.value AND a.doc_id <> b.doc_id WHERE a.doc_id % 20 = 0 GROUP BY ALL""")
+def cooccurrence_anchors(spark, sf):
+    """J7 for a query set (ids divisible by 20) against all documents."""
+    docs = table(spark, sf, "documents")
+    return H.anchor_pairs(R.doc_entities(docs, FAST), docs.where("doc_id % 20 = 0"))
 
 
 # ---------------------------------------------------------------- G14, G15, J8, J10
@@ -331,16 +335,16 @@ def rerank_resolution(spark, sf):
 
 @query("dedupe_queries", """
 SELECT fingerprint, count(*) AS n_queries, min(query_id) AS query_id FROM (
-  SELECT item_id AS query_id, md5(concat_ws('_', text, 'None', 'None', 'None', '10')) AS fingerprint FROM benchmark
+  SELECT item_id AS query_id, md5(concat_ws('_', text, 'None', 'None', '10')) AS fingerprint FROM benchmark
   UNION ALL
-  SELECT item_id, md5(concat_ws('_', text, (['de','en','es','fr'])[CAST(item_id % 4 AS INTEGER) + 1], 'None',
+  SELECT item_id, md5(concat_ws('_', text, (['de','en','es','fr'])[CAST(item_id % 4 AS INTEGER) + 1],
                                 'src' || CAST(item_id % 20 AS VARCHAR), '10')) FROM benchmark)
 GROUP BY fingerprint""")
 def dedupe_queries(spark, sf):
     """A batch (plain + filtered queries) deduplicated on the request fingerprint; each
     distinct request is answered once and joined back by fingerprint."""
     b = benchmark_queries(spark, sf).unionByName(benchmark_queries(spark, sf, True))
-    fp = T.fingerprint(F.col("query"), F.col("category"), F.col("subcategory"), F.col("product"), F.lit(10))
+    fp = T.fingerprint(F.col("query"), F.col("category"), F.col("product"), F.lit(10))
     return b.select("query_id", fp.alias("fingerprint")).groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("n_queries"), F.min("query_id").alias("query_id"))
 

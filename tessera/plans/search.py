@@ -17,7 +17,7 @@ LIMIT = 10
 # ------------------------------------------------------------------------------------------
 # SQL twins
 # ------------------------------------------------------------------------------------------
-def _fast_sql(with_filters: bool, filter_first: bool = True, body: str | None = None, q_sql: str | None = None,
+def _fast_sql(with_filters: bool, body: str | None = None, q_sql: str | None = None,
               extra: tuple[str, ...] = ()) -> str:
     cfg = CONFIGS["fast"]
     pats = T.ENTITY_PATTERNS_FAST
@@ -71,16 +71,8 @@ def _fast_sql(with_filters: bool, filter_first: bool = True, body: str | None =
   AND (q_subcategory IS NULL OR lower(subcategory) = lower(q_subcategory))
   AND (q_product IS NULL OR lower(product) = lower(q_product)))""",
     ]
-    if filter_first:
-        ctes.append("""cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, doc_id)
+    ctes.append("""cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, doc_id)
   AS pre FROM flt QUALIFY pre <= 10)""")
-    else:
-        ctes.append("""pre0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, doc_id)
-  AS pre_all FROM r QUALIFY pre_all <= 20)""")
-        ctes.append("""cand AS (SELECT * EXCLUDE (pre_all), row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, doc_id)
-  AS pre FROM pre0 WHERE (q_category IS NULL OR lower(category) = lower(q_category))
-  AND (q_subcategory IS NULL OR lower(subcategory) = lower(q_subcategory))
-  AND (q_product IS NULL OR lower(product) = lower(q_product)) QUALIFY pre <= 10)""")
     ctes += list(extra)
     body = body or """SELECT query_id,
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.7::DOUBLE * relevance_score + 0.3::DOUBLE * success_rate, 6) DESC,
@@ -112,8 +104,8 @@ def search_category_boost(spark, sf_dir):
     return _rank_long(R.search_fast(_fast_index(spark, sf_dir), benchmark_queries(spark, sf_dir, True), LIMIT))
 
 
-@query("topk_then_filter", _fast_sql(True, filter_first=False))
-def topk_then_filter(spark, sf_dir):
-    """The reference's order (cut to 2*limit, then filter), which may return fewer rows."""
-    return _rank_long(R.search_fast(_fast_index(spark, sf_dir), benchmark_queries(spark, sf_dir, True), LIMIT,
-                                    filter_first=False))
+@query("topk_filter_first", _fast_sql(True, body="SELECT query_id, count(*) AS n, max(relevance_score) AS best FROM cand GROUP BY query_id"))
+def topk_filter_first(spark, sf_dir):
+    """The filter comes before the cut, so every query with matching documents is answered."""
+    found = R.search_fast(_fast_index(spark, sf_dir), benchmark_queries(spark, sf_dir, True), LIMIT)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("relevance_score").alias("best"))

@@ -10,6 +10,7 @@ from tessera.operators import ml as M
 from tessera.operators import retrieval as R
 from tessera.operators import sampling as P
 from tessera.plans.registry import query
+from tessera.plans.search import _fast_sql
 from tessera.sources import files as IO
 from tessera.sources.tables import benchmark_queries, v_text
 from tessera.streaming import monitor as V
@@ -58,6 +59,13 @@ def stream_sum_by(spark, sf):
     return V.run_to_table(spark, V.sum_by(V.event_stream(spark, sf)), ["category"], "sum_by")
 
 
+@query("exact_quantile", f"""WITH {EV_SQL}, {SLIDE_SQL}
+SELECT {_w("ws", "5 minutes")}, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM sl GROUP BY ws""")
+def exact_quantile(spark, sf):
+    """V3, exact twin on the table."""
+    return V.quantiles(V.event_batch(spark, sf), exact=True)
+
+
 @query("stream_quantile")
 def stream_quantile(spark, sf):
     """V3 on the stream (approximate quantiles); the exact twin is ``V.quantiles(exact=True)``."""
@@ -243,21 +251,26 @@ def feature_store_scan(spark, sf):
     return IO.scan_partition(spark, path, split="test", target="category").select("doc_id", "label")
 
 
+def _state(vocab, labels):
+    v = vocab.select(F.lit("term").alias("kind"), F.col("term").alias("name"), F.col("term_index").cast("long").alias("code"), "df", F.round("idf", 9).alias("idf"))
+    c = labels.select(F.col("column").alias("kind"), F.col("value").alias("name"), "code", F.lit(0).cast("long").alias("df"), F.lit(0.0).alias("idf"))
+    return v.unionByName(c).groupBy("kind", "name", "code", "df", "idf").count()
+
+
 @query("transformer_roundtrip")
 def transformer_roundtrip(spark, sf):
-    """Fitted state (vocabulary, label index) saved and loaded back; rows that differ are returned
-    (an empty result means a faithful round trip)."""
+    """Fitted state (vocabulary with df and idf, label index) saved and loaded back: every row of
+    either side, with ``same`` telling whether both hold it."""
     x, idx, tm = _features(spark, sf)
     base = IO.scratch_path(spark, "fitted")
     IO.save_tables({"vocab": tm.vocab, "labels": idx}, base)
     back = IO.load_tables(spark, base, ["vocab", "labels"])
-    d1 = tm.vocab.select("term", "term_index").exceptAll(back["vocab"].select("term", "term_index"))
-    d2 = idx.select(F.col("value").alias("term"), F.col("code").alias("term_index")).exceptAll(
-        back["labels"].select(F.col("value").alias("term"), F.col("code").alias("term_index")))
-    return d1.unionByName(d2)
+    saved, loaded = _state(tm.vocab, idx), _state(back["vocab"], back["labels"])
+    return loaded.join(saved.withColumnsRenamed({"count": "before"}), ["kind", "name", "code", "df", "idf"], "full").withColumn(
+        "same", F.col("count").eqNullSafe(F.col("before"))).drop("before")
 
 
-@query("index_roundtrip")
+@query("index_roundtrip", _fast_sql(False))
 def index_roundtrip(spark, sf):
     """The fast index written as tables, read back, and searched from the reloaded tables."""
     idx = R.build_index(v_text(spark, sf), "fast")
@@ -267,15 +280,7 @@ def index_roundtrip(spark, sf):
     from tessera.operators.tfidf import TfidfModel
     re = R.SolutionIndex("fast", t["docs"], TfidfModel(idx.tfidf.cfg, t["vocab"], t["postings"]), t["entities"],
                          idx.patterns)
-    return R.search_fast(re, benchmark_queries(spark, sf), 10)
-
-
-@query("empty_index")
-def empty_index(spark, sf):
-    """Loading an index from a missing path yields an empty table of the index schema."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("term", T.StringType()),
-                           T.StructField("weight", T.DoubleType())])
-    return IO.load_or_empty(spark, IO.scratch_path(spark, "missing"), schema)
+    return R.search_fast(re, benchmark_queries(spark, sf), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("results_sink")

@@ -115,11 +115,11 @@ def grade_bands(spark, sf):
 
 
 @query("query_fingerprint", """
-SELECT item_id AS query_id, md5(concat_ws('_', text, 'None', 'None', 'None', '10')) AS fingerprint FROM benchmark""")
+SELECT item_id AS query_id, md5(concat_ws('_', text, 'None', 'None', '10')) AS fingerprint FROM benchmark""")
 def query_fingerprint(spark, sf):
     q = benchmark_queries(spark, sf)
-    return q.select("query_id", T.fingerprint(F.col("query"), F.col("category"), F.col("subcategory"),
-                                              F.col("product"), F.lit(10)).alias("fingerprint"))
+    return q.select("query_id", T.fingerprint(F.col("query"), F.col("category"), F.col("product"),
+                                              F.lit(10)).alias("fingerprint"))
 
 
 # ---------------------------------------------------------------- F1-F4, F8, F9, F14
@@ -136,12 +136,16 @@ def ticket_project(spark, sf):
 @query("default_fill", S.with_views("""
 SELECT CAST(id AS VARCHAR) AS ticket_id, 'en' AS language, 'NA' AS region, '' AS feedback_text,
        coalesce(product, 'unknown') AS product, 'unknown' AS priority, 'unknown' AS severity,
-       CAST(0 AS BIGINT) AS affected_users, CAST(0.0 AS DOUBLE) AS account_monthly_value FROM v_text"""))
+       'unknown' AS product_version, 'unknown' AS product_module, 'email' AS channel, 'unknown' AS agent_specialization,
+       'production' AS environment, 'medium' AS business_impact, CAST(0 AS BIGINT) AS previous_tickets,
+       CAST(12 AS BIGINT) AS agent_experience_months, CAST(365 AS BIGINT) AS account_age_days,
+       CAST(1000.0 AS DOUBLE) AS account_monthly_value, CAST(0 AS BIGINT) AS similar_issues_last_30_days,
+       CAST(100 AS BIGINT) AS product_version_age_days, CAST(1 AS BIGINT) AS affected_users,
+       CAST(0 AS BIGINT) AS response_count, CAST(0 AS BIGINT) AS attachments_count FROM v_text"""))
 def default_fill(spark, sf):
     p = Q.project(v_text(spark, sf).withColumn("ticket_id", F.col("id").cast("string")))
     f = Q.fill_by_kind(Q.apply_defaults(p))
-    return f.select("ticket_id", "language", "region", "feedback_text", "product", "priority", "severity",
-                    "affected_users", "account_monthly_value")
+    return f.select("ticket_id", "product", "priority", "severity", *Q.REQUEST_DEFAULTS)
 
 
 @query("filter_metadata", S.with_views("""

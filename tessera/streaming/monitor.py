@@ -93,20 +93,21 @@ def sum_by(ev: DataFrame, key: str = "category") -> DataFrame:
 def run_to_table(spark: SparkSession, stream_df: DataFrame, keys: Sequence[str], name: str,
                  per_batch: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Run a streaming aggregation to completion (availableNow) in update mode; each micro-batch's
-    updated rows are appended as Parquet under ``<checkpoint dir>/streams/<name>-<uuid>/data``
-    with their batch id; the result is the latest row per key."""
+    updated rows overwrite the Parquet folder of their batch id under
+    ``<checkpoint dir>/streams/<name>-<uuid>/data``, so a replayed batch repeats nothing; the result
+    is the latest row per key."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     out = f"{root}/data"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         b = per_batch(batch, batch_id) if per_batch else batch
-        b.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        b.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = (stream_df.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
+    rows = spark.read.parquet(out)
     if not keys:
-        return spark.read.parquet(out)
-    w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
-    latest = spark.read.parquet(out).withColumn("_rn", F.row_number().over(w))
-    return latest.where(F.col("_rn") == 1).drop("_rn", "_batch")
+        return rows.drop("batch")
+    w = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "batch")
