@@ -146,11 +146,45 @@ def test_concurrency_two_level(spark):
     assert out == [1, 2, 1, 2, 1, 0]
 
 
-def test_cooccurrence_hot_entities_kept_whole(spark):
-    rows = [(i, "codes", "111") for i in range(6)] + [(0, "codes", "222"), (1, "codes", "222")]
+def test_cooccurrence_states_hot_entities_whole(spark):
+    rows = [(i, "codes", "111") for i in range(6)] + [(0, "codes", "222"), (1, "codes", "222"), (1, "codes", "222")]
     ents = spark.createDataFrame(rows, "doc_id long, type string, value string")
-    from tessera.operators.graph import cooccurrence
-    pairs, hot = cooccurrence(ents, max_pair_df=5)
-    assert [(r.doc_a, r.doc_b, r.common) for r in pairs.collect()] == [(0, 1, 1)]
-    h = hot.first()
-    assert (h.value, h.df, h.pairs) == ("111", 6, 15)
+    from tessera.operators.graph import anchor_pairs, cooccurrence
+    got = sorted(tuple(r) for r in cooccurrence(ents).collect())
+    assert got == sorted([(i, "codes", "111", 6, 15) for i in range(6)] + [(i, "codes", "222", 2, 1) for i in (0, 1)])
+    anchors = spark.createDataFrame([(0,), (3,)], "doc_id long")
+    want = sorted([(0, 1, 2), *[(0, b, 1) for b in (2, 3, 4, 5)], *[(3, b, 1) for b in (0, 1, 2, 4, 5)]])
+    for block in (10_000, 2):
+        assert sorted(tuple(r) for r in anchor_pairs(ents, anchors, block).collect()) == want
+
+
+def test_fingerprint_has_four_parts(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions.text import fingerprint
+    r = spark.range(1).select(fingerprint(F.lit("printer broken"), F.lit("hardware"), F.lit(None), F.lit(10)).alias("f")).first()
+    assert r.f == hashlib.md5(b"printer broken_hardware_None_10").hexdigest() == "0773f16503e3b6b0b9c139ef2b5563bf"
+
+
+def test_gates_flag_instead_of_dropping(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.anomaly import retrieval_failures
+    log = spark.createDataFrame([("a", 0.0)] * 101 + [("b", 0.0)] * 3, "category string, success double")
+    got = sorted(tuple(r) for r in retrieval_failures(log).select("category", "tickets", "is_anomaly", "enough_data").collect())
+    assert got == [("a", 101, True, True), ("b", 3, False, False)]
+
+
+def test_replayed_batch_repeats_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.streaming import monitor as V
+    src = str(tmp_path / "in")
+    spark.range(10).write.parquet(src)
+    stream = spark.readStream.schema("id long").parquet(src)
+
+    def twice(batch, batch_id):
+        return batch.withColumn("n", F.col("id") * 2)
+    assert V.run_to_table(spark, stream, [], "replay", per_batch=twice).count() == 10
