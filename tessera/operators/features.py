@@ -179,3 +179,14 @@ def selection_status(metrics: DataFrame, score: str = "f1", threshold: float = 0
     s = F.col(score)
     passed = (s >= threshold) if inclusive else (s > threshold)
     return metrics.withColumn("status", F.when(s.isNull(), "failed").when(passed, "selected").otherwise("rejected"))
+
+
+def selected_models(report: DataFrame) -> DataFrame:
+    """The report rows whose status is 'selected'."""
+    return report.where(F.col("status") == "selected")
+
+
+def model_status(report: DataFrame, wanted: DataFrame, target: str = "target") -> DataFrame:
+    """For each wanted target its report row, nulls where there is none, and ``is_selected``."""
+    return wanted.select(target).distinct().join(report, target, "left").withColumn(
+        "is_selected", F.coalesce(F.col("status") == "selected", F.lit(False)))

@@ -388,6 +388,11 @@ def rerank_enhanced_score(rel: Column, success: Column, cat_match: Column, entit
     return F.lit(0.5) * rel + F.lit(0.3) * success + F.lit(0.1) * cat_boost + F.lit(0.05) * ent + F.lit(0.05) * gr
 
 
+def resolution_adjusted(score: Column, hours: Column) -> Column:
+    """A score raised by a fifth where the resolution took under 10 hours, lowered by a fifth above 50."""
+    return F.when(hours < 10, score * 1.2).when(hours > 50, score * 0.8).otherwise(score)
+
+
 def search_full(index: SolutionIndex, queries: DataFrame, limit: int = 10, doc_embeddings: DataFrame | None = None,
                 query_embeddings: DataFrame | None = None) -> DataFrame:
     """Keyword + semantic + entity + graph; filter; top 2*limit; enhanced re-rank; limit.

@@ -172,3 +172,15 @@ def best_model(spark, sf):
     rep = X.classification_report(_predictions(spark, sf), "label", "prediction")
     return rep.where(~F.col("cls").isin("macro avg", "weighted avg", "micro avg", "accuracy")).orderBy(
         F.col("f1").desc(), "cls").limit(1).select("cls", "f1")
+
+
+@query("selected_models", S.with_views("""
+SELECT l.cls, f1, CASE WHEN f1 IS NULL THEN NULL WHEN f1 > 0.5 THEN 'selected' ELSE 'rejected' END AS status,
+       coalesce(f1 > 0.5, false) AS is_selected
+FROM (SELECT DISTINCT lang AS cls FROM documents UNION SELECT 'unknown') l LEFT JOIN rep USING (cls)""", PRED_SQL, REPORT_SQL))
+def selected_models(spark, sf):
+    """The selection report asked for every language and for one that it does not hold."""
+    from tessera.sources.tables import table
+    rep = X.classification_report(_predictions(spark, sf), "label", "prediction").select("cls", "f1")
+    wanted = table(spark, sf, "documents").select(F.col("lang").alias("cls")).union(spark.sql("SELECT 'unknown' AS cls"))
+    return X.model_status(X.selection_status(rep, "f1", 0.5), wanted, "cls").select("cls", "f1", "status", "is_selected")

@@ -325,9 +325,7 @@ def rerank_resolution(spark, sf):
     """x1.2 under 10 h, x0.8 over 50 h, then top 10 per category (score = satisfaction / 5)."""
     e = v_event(spark, sf).select("category", "id", "satisfaction_score", "resolution_time_hours")
     score = F.col("satisfaction_score") / 5.0
-    adj = (F.when(F.col("resolution_time_hours") < 10, score * 1.2)
-           .when(F.col("resolution_time_hours") > 50, score * 0.8).otherwise(score))
-    x = e.select("category", "id", R.r6(score).alias("score"), R.r6(adj).alias("adjusted")).withColumn("query_id", F.col("category"))
+    x = e.select("category", "id", R.r6(score).alias("score"), R.r6(R.resolution_adjusted(score, F.col("resolution_time_hours"))).alias("adjusted")).withColumn("query_id", F.col("category"))
     x = x.withColumnRenamed("id", "doc_id")
     out = R.top_k(x, 10, [F.col("adjusted").desc()], "rank")
     return out.select("category", F.col("doc_id").alias("id"), "score", "adjusted", F.col("rank").cast("long").alias("rank"))

@@ -217,12 +217,16 @@ TEXT_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("su
                             T.StructField("product", T.StringType())])
 
 
-@query("scan_json")
+@query("scan_json", """SELECT d.doc_id AS id, split_part(coalesce(d.text, ''), chr(10), 1) AS subject, d.text AS description, d.lang AS category,
+  d.source AS product, form FROM documents d, (SELECT unnest(['lines', 'array']) AS form)""")
 def scan_json(spark, sf):
-    """Tickets written as JSON and scanned back with an explicit schema."""
-    path = IO.scratch_path(spark, "json")
-    IO.write_json(v_text(spark, sf).select(*TEXT_SCHEMA.fieldNames()), path)
-    return IO.scan_json(spark, path, TEXT_SCHEMA)
+    """Tickets written as JSON lines and as JSON arrays (one a line of text files), scanned back with an explicit schema."""
+    rows = v_text(spark, sf).select(*TEXT_SCHEMA.fieldNames())
+    lines, arrays = IO.scratch_path(spark, "json"), IO.scratch_path(spark, "json_array")
+    IO.write_json(rows, lines)
+    rows.select(F.to_json(F.array(F.struct(*rows.columns)))).write.text(arrays)
+    return IO.scan_json(spark, lines, TEXT_SCHEMA).withColumn("form", F.lit("lines")).unionByName(
+        IO.scan_json(spark, arrays, TEXT_SCHEMA).withColumn("form", F.lit("array")))
 
 
 @query("csv_roundtrip", """
