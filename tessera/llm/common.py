@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import string
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,8 +43,10 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop the finished shuffles
+    for _ in range(2):  # the context cleaner drops finished shuffles once both garbage collectors have let go of the plan
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
