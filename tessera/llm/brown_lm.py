@@ -2,11 +2,13 @@
 
 1. Counts: all training tokens (words lower-cased A-Z, then one end token a text) are counted by
    64-bit word hash; the table grows with the corpus and stays distributed. N, V are its totals.
-2. Units: the end token, the ``CLUSTERED`` most frequent words, and frequency bands for the other
-   ``HEAD`` most frequent words; all rarer words, and unknown ones, are the unit ``rare``. The bigrams
-   of units are counted over all training tokens: a matrix of fixed size a task, added in blocks.
-3. Exchange clustering on that matrix: each frequent word is moved to the class that raises the
-   likelihood of the class bigrams most, in sweeps until nothing moves. Other units are classes.
+2. Seeds: the ``CLUSTERED`` most frequent words are clustered by exchange on one matrix of unit bigrams
+   (the other head words in frequency bands), one word after the other, until nothing moves.
+3. Sweeps: every one of the ``HEAD`` most frequent words chooses its class. Tasks count how often a
+   word stands before and after each class, the counts are summed by word, and each word goes to the
+   class that raises the likelihood of the class bigrams most. All words move at once, so the bigrams
+   are counted anew after each sweep, and a sweep that lowered the likelihood is taken back. Rarer
+   words, and unknown ones, are the class ``rare``; the end token is a class.
 4. Scores: P(w | v) = T(class w | class v) * E(w | class w), with
        T(k | j) = (n(j, k) + ALPHA * P(k)) / (n(j) + ALPHA),  P(k) = (n(k) + [k is rare]) / (N + 1)
        E(w | k) = c(w) / n(k),   for rare words (c(w) + 1) / (n(rare) + V(rare) + 1)
@@ -36,13 +38,22 @@ HEAD = 1 << 18
 CLUSTERED = 512
 CLASSES = 32
 SWEEPS = 20
+MOVES = 3  # sweeps over all head words
 ALPHA = 1.0
 BANDS = 24
 END = U(0x454E44)  # hash of the end token
-END_UNIT, FIRST_BAND = 0, CLUSTERED + 1
-RARE = FIRST_BAND + BANDS
-UNITS = RARE + 1
+#: Units of tokens: the end, classes 1..CLASSES, rare words; head words not placed yet.
+END_UNIT, RARE, UNPLACED = 0, CLASSES + 1, CLASSES + 2
+UNITS = CLASSES + 3
+#: Units of the seeds' matrix.
+FIRST_BAND = CLUSTERED + 1
+SEED_RARE = FIRST_BAND + BANDS
+SEEDS = SEED_RARE + 1
 BLOCKS = 16
+#: A word's counts: before it, after it, and pairs with itself; a task merges what it has counted beyond KEYS.
+COLUMNS = 2 * UNITS + 1
+KEYS = 1 << 21
+ROWS = 1 << 11
 
 
 def held_out(id_col: str):
@@ -67,23 +78,38 @@ def _count(batches):
 
 
 class Head:
-    """The most frequent words, sorted by hash: counts and units."""
+    """The most frequent words, sorted by hash: counts, seed units and units."""
 
     def __init__(self, h: np.ndarray, c: np.ndarray):
         """Both in order of frequency."""
         words = h != END
         h, c = h[words], c[words]
-        unit = np.where(np.arange(len(h)) < CLUSTERED, 1 + np.arange(len(h)), FIRST_BAND + np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64), BANDS - 1))
+        seed = np.where(np.arange(len(h)) < CLUSTERED, 1 + np.arange(len(h)), FIRST_BAND + np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64), BANDS - 1))
         order = np.argsort(h)
-        self.h, self.c, self.unit = h[order], c[order], unit[order].astype(np.int32)
+        self.h, self.c, self.seed = h[order], c[order], seed[order].astype(np.int32)
+        self.unit = np.full(len(h), UNPLACED, np.int32)
+
+    def place(self, asked: np.ndarray) -> np.ndarray:
+        """Index of each token among the head words; one more is the end, two more a rare word."""
+        n = len(self.h)
+        at = np.searchsorted(self.h, asked)
+        if n:
+            at = np.where(self.h[np.minimum(at, n - 1)] == asked, at, n + 1)
+        else:
+            at = np.full(len(asked), n + 1)
+        return np.where(asked == END, n, at)
+
+    def units(self) -> np.ndarray:
+        """Of each place."""
+        return np.append(self.unit, [END_UNIT, RARE]).astype(np.int8)
+
+    def seeds(self) -> np.ndarray:
+        return np.append(self.seed, [END_UNIT, SEED_RARE]).astype(np.int32)
 
     def look(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, unit) of each token; the unit of a word that is not here is RARE."""
-        if not len(self.h):
-            return np.zeros(len(asked), np.int64), np.where(asked == END, END_UNIT, RARE).astype(np.int32)
-        at = np.minimum(np.searchsorted(self.h, asked), len(self.h) - 1)
-        unit = np.where(self.h[at] == asked, self.unit[at], RARE)
-        return at, np.where(asked == END, END_UNIT, unit).astype(np.int32)
+        at = self.place(asked)
+        return at, self.units()[at].astype(np.int32)
 
 
 def before(unit: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -96,18 +122,161 @@ def before(unit: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def _bigrams(shared):
     def run(batches):
-        total = np.zeros(UNITS * UNITS, np.int64)
+        total, seeds = np.zeros(SEEDS * SEEDS, np.int64), shared.value.seeds()
         for b in batches:
             for c in chunks(b.column(0), lower=True):
                 h, edges = tokens(c)
-                unit = shared.value.look(h)[1]
-                total += np.bincount(before(unit, edges).astype(np.int64) * UNITS + unit, minlength=UNITS * UNITS)
+                unit = seeds[shared.value.place(h)]
+                total += np.bincount(before(unit, edges).astype(np.int64) * SEEDS + unit, minlength=SEEDS * SEEDS)
         if total.any():
             parts = np.array_split(total, BLOCKS)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
     return run
 
 
+def _merge(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their times."""
+    k, t = np.concatenate(keys), np.concatenate(times)
+    order = np.argsort(k, kind="stable")
+    k, t = k[order], t[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(t, first) if len(k) else t
+
+
+def _packed(key: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """One row a place; an entry is times * 256 + column."""
+    place, column = key // COLUMNS, key % COLUMNS
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(times << 8 | column))
+    return pa.RecordBatch.from_arrays([pa.array(place[first]), lists], names=["place", "counts"])
+
+
+def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    place = np.repeat(b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy())
+    x = b.column(1).flatten().to_numpy()
+    return place * COLUMNS + (x & 255), x >> 8
+
+
+def _contexts(shared, units_of):
+    """How often each place stands after and before each unit."""
+    def run(batches):
+        head = shared.value
+        units, keys, times, held = units_of.value.astype(np.int64), [], [], 0
+        for b in batches:
+            for c in chunks(b.column(0), lower=True):
+                h, edges = tokens(c)
+                here = head.place(h)
+                last = np.empty_like(here)
+                last[1:] = here[:-1]
+                last[edges[:-1]] = len(head.h)
+                own = here == last
+                both = np.concatenate((here * COLUMNS + np.where(own, 2 * UNITS, units[last]), (last * COLUMNS + UNITS + units[here])[~own]))
+                k, t = np.unique(both, return_counts=True)
+                keys.append(k)
+                times.append(t.astype(np.int64))
+                held += len(k)
+                if held > KEYS:
+                    k, t = _merge(keys, times)
+                    if len(k) > KEYS // 2:
+                        yield _packed(k, t)
+                        k, t = k[:0], t[:0]
+                    keys, times, held = [k], [t], len(k)
+        if held:
+            yield _packed(*_merge(keys, times))
+    return run
+
+
+def _sum(batches):
+    """The places of this task, each in one row."""
+    keys, times, held = [], [], 0
+    for b in batches:
+        k, t = _unpacked(b)
+        keys.append(k)
+        times.append(t)
+        held += len(k)
+        if held > KEYS:
+            k, t = _merge(keys, times)
+            keys, times, held = [k], [t], len(k) // 2
+    if keys:
+        k, t = _merge(keys, times)
+        edges = np.searchsorted(k // COLUMNS, (k // COLUMNS)[::ROWS * 32]) if len(k) else []
+        for lo, hi in zip(edges, [*edges[1:], len(k)], strict=True):
+            if hi > lo:
+                yield _packed(k[lo:hi], t[lo:hi])
+
+
+def _pairs(units):
+    """Bigrams of units, from the places' counts of what stands before them (in one row a task)."""
+    def run(batches):
+        total = np.zeros((UNITS, UNITS), np.int64)
+        for b in batches:
+            k, t = _unpacked(b)
+            place, column = k // COLUMNS, k % COLUMNS
+            unit = units.value[place].astype(np.int64)
+            left = np.where(column == 2 * UNITS, unit, column)
+            use = left < UNITS
+            np.add.at(total, (left[use], unit[use]), t[use])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+    return run
+
+
+def choose(pair: np.ndarray, here: np.ndarray, into: np.ndarray, out: np.ndarray, own: np.ndarray, classes: int) -> np.ndarray:
+    """The unit in 1..classes that each word raises the likelihood most in, all other words held.
+
+    ``pair`` are the bigrams of units with every word in its unit ``here``; ``into`` and ``out`` count
+    the units before and after each word, without its ``own`` pairs with itself."""
+    a = pair.astype(float)
+    ks, w = np.arange(1, classes + 1), np.arange(len(here))
+    at = here[:, None] == ks
+    into, out, own = into.astype(float), out.astype(float), own.astype(float)
+    gain = np.zeros((len(here), classes))
+    for counts, other, cells in ((out, into, a), (into, out, a.T)):
+        b, j = np.nonzero(counts)
+        n, same = counts[b, j][:, None], (j == here[b])[:, None]
+        rest = cells[ks][:, j].T - at[b] * (n + same * own[b][:, None]) - same * other[b][:, ks]
+        order = xlogx(rest + n) - xlogx(rest)
+        if len(b):
+            first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+            gain[b[first]] += np.add.reduceat(order, first)
+        total = counts.sum(1)[:, None] + own[:, None]
+        left = cells.sum(1)[ks] - at * total
+        gain -= xlogx(left + total) - xlogx(left)
+    o, i = out[:, ks], into[:, ks]
+    corner = a[ks, ks] - at * (o + i + own[:, None])
+    gain += xlogx(corner + o + i + own[:, None]) - xlogx(corner + o) - xlogx(corner + i) + xlogx(corner)
+    best = gain.argmax(1)
+    inside = (here >= 1) & (here <= classes)
+    stay = inside & (gain[w, best] <= gain[w, np.where(inside, here - 1, 0)] + 1e-9)
+    return np.where(stay, here, 1 + best).astype(np.int32)
+
+
+def _choose(units_of, pair: np.ndarray, only_new: bool, classes: int):
+    def run(batches):
+        units = units_of.value
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                place = part.column(0).to_numpy()
+                k, t = _unpacked(part)
+                row = np.repeat(np.arange(len(place)), part.column(1).value_lengths().to_numpy())
+                counts = np.zeros((len(place), COLUMNS))
+                np.add.at(counts, (row, k % COLUMNS), t)
+                here = units[place].astype(np.int32)
+                moves = (here != END_UNIT) & (here != RARE) & ((here == UNPLACED) | (not only_new))
+                there = here.copy()
+                if moves.any():
+                    there[moves] = choose(pair, here[moves], counts[moves, :UNITS], counts[moves, UNITS:2 * UNITS], counts[moves, 2 * UNITS], classes)
+                moved = there != here
+                yield pa.RecordBatch.from_arrays([pa.array(place[moved]), pa.array(there[moved])], names=["place", "unit"])
+    return run
+
+
+def likelihood(pair: np.ndarray) -> float:
+    """Of the class bigrams, up to what no exchange changes."""
+    a = pair.astype(float)
+    return xlogx(a).sum() - xlogx(a.sum(0)).sum() - xlogx(a.sum(1)).sum()
+
+
 def _add(batches):
     """Sums of the matrix blocks in this task, by block."""
     total: dict[int, np.ndarray] = {}
@@ -174,18 +343,17 @@ def exchange(n: np.ndarray, movable: np.ndarray, classes: int, sweeps: int = SWE
 class Model:
     """Log tables for the tasks. ``vocabulary`` is the number of distinct training tokens, ``rare_words`` those outside the head."""
 
-    def __init__(self, head: Head, bigrams: np.ndarray, total: int, vocabulary: int, rare_words: int, classes: int = CLASSES):
+    def __init__(self, head: Head, bigrams: np.ndarray, total: int, vocabulary: int, rare_words: int):
+        """``bigrams`` of the units of ``head``."""
         self.head, self.total, self.vocabulary = head, total, vocabulary
-        movable = np.arange(1, 1 + min(CLUSTERED, len(head.h)))
-        self.cls = exchange(bigrams, movable, min(classes, max(1, len(movable))))
-        k = int(self.cls.max()) + 1
-        pair = np.zeros((k, k))
-        np.add.at(pair, (self.cls[:, None], self.cls[None, :]), bigrams.astype(float))
+        self.cls = np.arange(UNITS)  # every unit is a class
+        k = UNITS
+        pair = bigrams.astype(float)
         size = pair.sum(0)
         share = (size + (np.arange(k) == self.cls[RARE])) / (total + 1)  # the unknown word counts as one
         with np.errstate(divide="ignore"):
             self.transition = np.log10((pair + ALPHA * share) / (pair.sum(1, keepdims=True) + ALPHA)) if total else np.zeros((k, k))
-            self.emission = np.log10(np.maximum(head.c, 1)) - np.log10(np.maximum(size[self.cls[head.unit]], 1))
+            self.emission = np.log10(np.maximum(head.c, 1)) - np.log10(np.maximum(size[head.unit], 1))
         rare = size[self.cls[RARE]]
         self.rare = -np.log10(rare + rare_words + 1)
         self.base = np.log10(head.c + 1.0)
@@ -203,7 +371,7 @@ class Model:
         base = np.full(len(h), self.floor)
         base[word] += self.base[at[word]]
         base[end] += np.log10(self.end_count + 1)
-        score = self.transition[self.cls[prev], self.cls[unit]].copy()
+        score = self.transition[prev, unit].copy()
         score[word] += self.emission[at[word]]
         score[rare] += self.rare
         known = word | (end & (self.end_count > 0))
@@ -229,6 +397,47 @@ def _score(shared):
     return run
 
 
+def seed(texts: DataFrame, head: Head, shared, classes: int = CLASSES) -> int:
+    """Sets the units of the ``CLUSTERED`` most frequent words; the number of classes."""
+    parts = texts.mapInArrow(_bigrams(shared), "block int, counts binary")
+    if texts.rdd.getNumPartitions() > 256:  # a first round of sums, so that no block gathers one matrix from every task
+        parts = parts.repartition(64).mapInArrow(_add, "block int, counts binary")
+    blocks = {r.block: np.frombuffer(r.counts, np.int64) for r in parts.groupBy("block").applyInPandas(_add_block, "block int, counts binary").collect()}
+    matrix = np.concatenate([blocks[k] for k in range(BLOCKS)]).reshape(SEEDS, SEEDS) if blocks else np.zeros((SEEDS, SEEDS), np.int64)
+    movable = np.arange(1, 1 + min(CLUSTERED, len(head.h)))
+    classes = min(classes, max(1, len(movable)))
+    of = exchange(matrix, movable, classes)
+    seeds = head.seed < FIRST_BAND
+    head.unit[seeds] = 1 + of[head.seed[seeds]]
+    return classes
+
+
+def sweep(texts: DataFrame, head: Head, shared, classes: int, moves: int = MOVES) -> np.ndarray:
+    """Lets every head word choose its unit; the bigrams of the units."""
+    spark, best = texts.sparkSession, None
+    for turn in range(moves + 1):
+        units = spark.sparkContext.broadcast(head.units())
+        rows = texts.mapInArrow(_contexts(shared, units), "place long, counts array<long>").repartition("place")
+        rows = stage(rows.mapInArrow(_sum, "place long, counts array<long>"))
+        pair = np.zeros((UNITS, UNITS), np.int64)
+        for r in rows.mapInArrow(_pairs(units), "counts binary").collect():
+            pair += np.frombuffer(r.counts, np.int64).reshape(UNITS, UNITS)
+        new = bool((head.unit == UNPLACED).any())
+        if best and likelihood(pair) <= best[0]:
+            head.unit = best[1]
+            return best[2]
+        if not new:
+            best = (likelihood(pair), head.unit.copy(), pair)
+        if turn == moves:
+            break
+        moved = rows.mapInArrow(_choose(units, pair, new, classes), "place long, unit int").toArrow()  # at most one row a head word
+        if not moved.num_rows:
+            break
+        head.unit = head.unit.copy()
+        head.unit[moved["place"].to_numpy()] = moved["unit"].to_numpy()
+    return pair
+
+
 def fit(train: DataFrame, text_col: str, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model and the written counts (h, c) of all training tokens."""
     spark = train.sparkSession
@@ -237,14 +446,11 @@ def fit(train: DataFrame, text_col: str, head: int = HEAD) -> tuple[Model, DataF
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(head).toArrow()  # at most ``head`` rows
     words = Head(top["h"].to_numpy().view(U), top["c"].to_numpy())
-    shared = spark.sparkContext.broadcast(words)
-    parts = texts.mapInArrow(_bigrams(shared), "block int, counts binary")
-    if train.rdd.getNumPartitions() > 256:  # a first round of sums, so that no block gathers one matrix from every task
-        parts = parts.repartition(64).mapInArrow(_add, "block int, counts binary")
-    blocks = {r.block: np.frombuffer(r.counts, np.int64) for r in parts.groupBy("block").applyInPandas(_add_block, "block int, counts binary").collect()}
-    matrix = np.concatenate([blocks[k] for k in range(BLOCKS)]).reshape(UNITS, UNITS) if blocks else np.zeros((UNITS, UNITS), np.int64)
+    shared = spark.sparkContext.broadcast(words)  # its units change here only
+    classes = seed(texts, words, shared)
+    pair = sweep(texts, words, shared, classes)
     end = counts.where(F.col("h") == int(END)).count()
-    return Model(words, matrix, total.n or 0, total.v, total.v - end - len(words.h)), counts
+    return Model(words, pair, total.n or 0, total.v, total.v - end - len(words.h)), counts
 
 
 def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
