@@ -34,7 +34,7 @@ from tessera.llm.common import stage
 from tessera.llm.registry import query, table
 from tessera.llm.words import U, Chunk, chunks
 
-HEAD = 1 << 18
+HEAD = 1 << 20
 CLUSTERED = 512
 CLASSES = 32
 SWEEPS = 20

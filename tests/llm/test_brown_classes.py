@@ -52,3 +52,7 @@ def test_words_beyond_the_seeds_get_their_neighbours_class(spark, docs):
         unit[x] = model.head.look(h)[1]
         assert ((unit[x] >= 1) & (unit[x] <= B.CLASSES)).all()  # no word is left in a band
     assert not set(unit["n"].tolist()) & set(unit["v"].tolist())
+
+
+def test_words_ranked_beyond_two_to_the_eighteenth_are_in_the_head():
+    assert B.HEAD >= 1 << 20  # the head decides which words get classes of their own choice; it was cut to pass a limit once
