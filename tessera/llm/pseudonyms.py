@@ -10,8 +10,8 @@ format (separators, lengths, check digits) stays valid, and the key's holder can
 Kinds: ``email`` (letters and digits of the local part by class, the domain stays), ``iban`` (digits
 and letters of the account, check digits made anew), ``card`` (13 to 19 digits, Luhn digit made
 anew), ``ssn``, ``date`` (yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, 1900 to 2099; all formats share one
-permutation of days), ``ip`` (dotted quad), ``phone`` (+country code and national digits, or the
-North American plan). What fails its validation is left alone.
+permutation of days), ``ip`` (dotted quad), ``phone`` (+country code and 7 to 15 digits in all,
+together or in groups, or ddd ddd dddd with or without +1; any digits, the country code stays). What fails its validation is left alone.
 
 Defined cases: a null text stays null and has no finding; empty texts stay empty; rows that repeat an
 id are treated alike; a null id is an id; an empty table gives an empty table; other columns are not
@@ -46,11 +46,15 @@ PATTERN = re.compile(r"""
 | (?P<slash>(?<![0-9A-Za-z./-])[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}(?![0-9A-Za-z/-]))
 | (?P<ssn>(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))
 | (?P<ip>(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9]))
-| (?P<nanp>(?<![0-9A-Za-z+.(-])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\)[ ]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9]))
-| (?P<world>(?<![0-9A-Za-z+])\+(?!1[ .(-])[1-9][0-9]{0,2}(?:[ .-][0-9]{2,5}){2,5}(?![0-9A-Za-z]|[.-][0-9]))
+| (?P<nanp>(?<![0-9A-Za-z+.(-])(?:\+1[ .-]?|1[ .-])?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9]))
+| (?P<world>(?<![0-9A-Za-z+])\+[1-9](?:[ .-]?\(?[0-9]\)?){6,14}(?![0-9A-Za-z]|[.-][0-9]))
 | (?P<card>(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9]))
 """, re.X | re.A)
 
+#: Country codes of one and two digits; the others have three.
+SHORT_CODES = {"1", "7"}
+CODES = {"20", "27", "36", "39", "40", "41", "81", "82", "84", "86", "98"} | {str(k) for a, b in ((30, 35), (43, 50), (51, 59), (60, 67), (90, 96)) for k in range(a, b)}
+
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2099, 12, 31).toordinal() - FIRST_DAY + 1
 
@@ -162,18 +166,11 @@ class Pseudonyms:
                 return None
             x = self._move("ip", int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32)
             return "ip", ".".join(map(str, x.to_bytes(4, "big")))
-        if group == "nanp":
-            n = plain[-10:]
-            x = ((int(n[0]) - 2) * 100 + int(n[1:3])) * 800 + (int(n[3]) - 2) * 100 + int(n[4:6])
-            x = self._move("nanp", x * 10000 + int(n[6:]), 800 * 800 * 10000)
-            x, line = divmod(x, 10000)
-            area, exchange = divmod(x, 800)
-            return "phone", self._refill(text, plain[:-10] + f"{area + 200:03d}{exchange + 200:03d}{line:04d}")
-        if group == "world":
-            head = re.match(r"\+[0-9]+", text).group()
-            rest = plain[len(head) - 1:]
-            x = self._move("world", int(rest), 10 ** len(rest))
-            return "phone", self._refill(text, head[1:] + f"{x:0{len(rest)}d}")
+        if group in ("nanp", "world"):
+            code = len(plain) - 10 if group == "nanp" else 1 if plain[0] in SHORT_CODES else 2 if plain[:2] in CODES else 3
+            rest = plain[code:]
+            x = self._move("phone", int(rest), 10 ** len(rest))
+            return "phone", self._refill(text, plain[:code] + f"{x:0{len(rest)}d}")
         if group == "iban":
             if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 != 1:
                 return None
