@@ -11,7 +11,10 @@ Kinds: ``email`` (letters and digits of the local part by class, the domain stay
 and letters of the account, check digits made anew), ``card`` (13 to 19 digits, Luhn digit made
 anew), ``ssn``, ``date`` (yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, 1900 to 2099; all formats share one
 permutation of days), ``ip`` (dotted quad), ``phone`` (+country code and 7 to 15 digits in all,
-together or in groups, or ddd ddd dddd with or without +1; any digits, the country code stays). What fails its validation is left alone.
+together or in groups, or ddd ddd dddd with or without +1; any digits, the country code stays). A match that fails its validation
+is tried at its shorter lengths (an IBAN at its country's), then the search goes on one character after
+its start. Which length is valid can depend on the digits: findings near each other are permuted again
+until the new text is read with the same findings, which keeps the permutation exact.
 
 Defined cases: a null text stays null and has no finding; empty texts stay empty; rows that repeat an
 id are treated alike; a null id is an id; an empty table gives an empty table; other columns are not
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.registry import query, table
 
 ROUNDS = 10
+GROUP_KIND = {"iso": "date", "dot": "date", "slash": "date", "nanp": "phone", "world": "phone"}
 KINDS = ("email", "iban", "card", "ssn", "date", "ip", "phone")
 #: For the query on synthetic tables only; callers pass their own.
 QUERY_KEY = b"synthetic tables only"
@@ -55,6 +59,13 @@ PATTERN = re.compile(r"""
 SHORT_CODES = {"1", "7"}
 CODES = {"20", "27", "36", "39", "40", "41", "81", "82", "84", "86", "98"} | {str(k) for a, b in ((30, 35), (43, 50), (51, 59), (60, 67), (90, 96)) for k in range(a, b)}
 
+IBAN_LENGTH = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD 19:MK,SI,FK 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,TL,SO 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG,DJ 25:LY,PT,ST 26:IS,TR 27:BI,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV "
+    "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
+#: Findings that lie nearer than this can change how the other is read (a card or IBAN is shorter).
+NEAR = 64
+
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2099, 12, 31).toordinal() - FIRST_DAY + 1
 
@@ -177,25 +188,66 @@ class Pseudonyms:
             body = self._by_class("iban", plain[4:])
             check = 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
             return "iban", self._refill(text, f"{plain[:2]}{check:02d}{body}")
-        if luhn(plain[:-1]) != int(plain[-1]) or not int(plain):
+        if luhn(plain[:-1]) != int(plain[-1]):
             return None
         x = self._move("card", int(plain[:-1]), 10 ** (len(plain) - 1))
         body = f"{x:0{len(plain) - 1}d}"
         return "card", self._refill(text, body + str(luhn(body)))
 
+    def _end(self, group: str, text: str) -> int:
+        """Length of the longest valid value that ``text`` begins with, or 0."""
+        if group not in ("card", "iban"):
+            return len(text) if self.value(group, text) else 0
+        ends = [k for k in range(len(text), 0, -1) if text[k - 1].isalnum() and not text[k:k + 1].isalnum()]
+        for k in ends:
+            plain = "".join(c for c in text[:k] if c.isalnum())
+            if group == "iban" and len(plain) != IBAN_LENGTH.get(plain[:2], max(len(plain), 15)) or group == "card" and (len(plain) < 13 or not int(plain)):
+                continue
+            if self.value(group, text[:k]):
+                return k
+        return 0
+
+    def find(self, text: str, at: int = 0, stop: int | None = None) -> list[tuple[str, int, int]]:
+        """(group, start, end) of the findings that start in [at, stop)."""
+        out = []
+        while (m := PATTERN.search(text, at)) and (stop is None or m.start() < stop):
+            at = m.start() + 1
+            if size := self._end(m.lastgroup, m.group()):
+                at = m.start() + size
+                out.append((m.lastgroup, m.start(), at))
+        return out
+
+    def _replace(self, text: str, near: list[tuple[str, int, int]], before: int) -> list[str]:
+        """The pseudonyms of findings near each other; ``before`` is the end of the finding before them."""
+        values = [text[s:e] for _, s, e in near]
+        lo = max(before, near[0][1] - NEAR)
+        gaps = [text[max(lo - 1, 0):near[0][1]]] + [text[a[2]:b[1]] for a, b in zip(near, near[1:], strict=False)]
+        tail = text[near[-1][2]:near[-1][2] + 2 * NEAR]
+        while True:
+            values = [self.value(f[0], v)[1] for f, v in zip(near, values, strict=True)]
+            new, spans = "", []
+            for f, gap, v in zip(near, gaps, values, strict=True):
+                new += gap + v
+                spans.append((f[0], len(new) - len(v), len(new)))
+            if self.find(new + tail, lo - max(lo - 1, 0), len(new)) == spans:
+                return values
+
     def text(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of the findings in the text given."""
         if not MAY.search(text):
             return text, []
-        out, found, at = [], [], 0
-        for m in PATTERN.finditer(text):
-            new = self.value(m.lastgroup, m.group())
-            if new:
-                out += [text[at:m.start()], new[1]]
-                found.append((new[0], m.start(), m.end()))
-                at = m.end()
+        found = self.find(text)
+        out, at, k = [], 0, 0
+        while k < len(found):
+            last = k + 1
+            while last < len(found) and found[last][1] - found[last - 1][2] < NEAR:
+                last += 1
+            for (_, s, e), new in zip(found[k:last], self._replace(text, found[k:last], at), strict=True):
+                out += [text[at:s], new]
+                at = e
+            k = last
         out.append(text[at:])
-        return "".join(out), found
+        return "".join(out), [(GROUP_KIND.get(g, g), s, e) for g, s, e in found]
 
 
 def _run(key: bytes, back: bool):

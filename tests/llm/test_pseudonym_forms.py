@@ -1,5 +1,6 @@
-"""Phones in every format, against a plain list of the planted ones."""
+"""Phones in every format, against a plain list of the planted ones; valid cards and IBANs with more behind them."""
 
+import random
 import re
 
 import pytest
@@ -28,3 +29,24 @@ def test_every_planted_phone(spark):
     spans = P.op8_pseudonyms(spark, SMOKE).select("doc_id", F.explode(F.split("spans", ",")).alias("s")).where("s like 'phone:%'").collect()
     assert want
     assert want <= {(r.doc_id, *map(int, r.s.split(":")[1:])) for r in spans}
+
+
+@pytest.mark.parametrize("value,behind", [("4111 1111 1111 1111", " 123"), ("4111111111111111", " 12/27"), ("BE68539007547034", " EUR"), ("SE4550000000058398257466", " SEK"), ("ES91 2100 0418 4502 0005 1332", " FOR")])
+def test_values_with_more_behind(value, behind):
+    text = f"Card or account {value}{behind} of today"
+    new, found = P.Pseudonyms(KEY).text(text)
+    assert [(s, e) for _, s, e in found] == [(16, 16 + len(value))]
+    assert value not in new
+    assert new.endswith(f"{behind} of today")
+    assert P.Pseudonyms(KEY, True).text(new)[0] == text
+
+
+def test_round_trip_of_values_side_by_side():
+    r = random.Random(7)
+    parts = ["4111 1111 1111 1111", "4111111111111111", "378282246310005", "BE68539007547034", "212-555-0101", "+49 30 1234 5678", "92.60.174.184", "2001-02-28", "123-45-6789", "a1@b.example", "123", "12/27", "EUR", "at", "4"]
+    for k in range(1500):
+        text = r.choice(["", "x "]) + " ".join(r.choice(parts) for _ in range(r.randint(1, 7)))
+        key = str(k % 9).encode()
+        new, found = P.Pseudonyms(key).text(text)
+        assert [x[0] for x in P.Pseudonyms(key).text(new)[1]] == [x[0] for x in found]
+        assert P.Pseudonyms(key, True).text(new)[0] == text
