@@ -77,11 +77,10 @@ def stream_anomaly(spark, sf):
     """V8: each arriving micro-batch is scored by the four detectors against a static baseline
     (stream-static: the baseline is computed once from the history table)."""
     hist = V.event_batch(spark, sf).withColumnRenamed("ts", "created_at").withColumnRenamed(
-        "value", "resolution_time_hours").withColumn("customer_sentiment", F.lit(None).cast("string"))
+        "value", "resolution_time_hours")
 
     def score(batch, batch_id):
-        cur = batch.withColumnRenamed("ts", "created_at").withColumnRenamed("value", "resolution_time_hours") \
-            .withColumn("customer_sentiment", F.lit(None).cast("string"))
+        cur = batch.withColumnRenamed("ts", "created_at").withColumnRenamed("value", "resolution_time_hours")
         return A.detect_all(cur, hist).withColumn("batch_id", F.lit(batch_id))
 
     return V.run_to_table(spark, V.event_stream(spark, sf), [], "anomaly", per_batch=score)

@@ -21,11 +21,13 @@ EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string
 
 
 def event_columns(df: DataFrame) -> DataFrame:
-    """Ticket activity columns; event time cast to TIMESTAMP (watermarks reject timestamp_ntz)."""
+    """Ticket activity columns; event time cast to TIMESTAMP (watermarks reject timestamp_ntz); sentiment as in ``v_event``."""
+    k = F.get_json_object(F.col("props"), "$.k").cast("int")
     return df.select(
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category"),
         F.col("value"), F.concat(F.lit("prod"), (F.col("user_id") % 4).cast("string")).alias("product"),
-        (F.col("event_type") != "error").alias("resolution_helpful"))
+        (F.col("event_type") != "error").alias("resolution_helpful"),
+        F.when(k < 34, "negative").when(k < 67, "neutral").otherwise("positive").alias("customer_sentiment"))
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
