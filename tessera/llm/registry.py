@@ -13,7 +13,7 @@ QUERIES: dict[str, Builder] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("line_dedup", "brown_lm", "mixing", "decontaminate", "toxicity", "secrets",
-           "substring_dedup", "pseudonyms", "simhash", "exact_dedup", "repetition", "periodic_runs")
+           "substring_dedup", "pseudonyms", "simhash", "exact_dedup", "repetition", "periodic_runs", "spelling")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
