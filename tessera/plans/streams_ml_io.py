@@ -1,4 +1,4 @@
-"""Streaming monitors, model training / scoring and file round-trip queries."""
+"""Streaming monitors and file round-trip queries."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import anomaly as A
-from tessera.operators import ml as M
 from tessera.operators import retrieval as R
 from tessera.operators import sampling as P
 from tessera.plans.registry import query
@@ -86,130 +85,6 @@ def stream_anomaly(spark, sf):
     return V.run_to_table(spark, V.event_stream(spark, sf), [], "anomaly", per_batch=score)
 
 
-# ---------------------------------------------------------------- M1-M15 (rows-only: fitted models vary)
-def _features(spark, sf):
-    v = v_text(spark, sf)
-    return M.assemble(v, "id", "description", ["product"], ["satisfaction_score"], "category")
-
-
-def _split_features(spark, sf, target="category"):
-    """Split first; vocabulary, idf and codes are fitted on the training rows only."""
-    sp = P.split_stratified(v_text(spark, sf), "id", target)
-    return M.assemble(sp, "id", "description", ["product"], ["satisfaction_score"], target, sp.where(F.col("split") == "train"))
-
-
-@query("train_classifier")
-def train_classifier(spark, sf):
-    """M1 + M7 / C15: weighted multinomial logistic regression on TF-IDF + codes; predictions with
-    label and confidence for the test split (stratified)."""
-    sp, idx, _ = _split_features(spark, sf)
-    train = M.with_class_weights(sp.where(F.col("split") == "train"))
-    model = M.train(train, "logistic")
-    return M.predict_confidence(model, sp.where(F.col("split") == "test"), idx, "category")
-
-
-@query("evaluate_classifier")
-def evaluate_classifier(spark, sf):
-    """M4: per-class and averaged metrics on the test split."""
-    sp, idx, _ = _split_features(spark, sf)
-    model = M.train(M.with_class_weights(sp.where(F.col("split") == "train")), "logistic")
-    return M.evaluate(model.transform(sp.where(F.col("split") == "test")))
-
-
-@query("compare_models")
-def compare_models(spark, sf):
-    """M5 / M6: logistic regression vs random forest, macro F1 each, best marked."""
-    sp, _, _ = _split_features(spark, sf)
-    train = M.with_class_weights(sp.where(F.col("split") == "train")).cache()
-    test = sp.where(F.col("split") == "test")
-    rows = None
-    for kind in ("logistic", "forest"):
-        rep = M.evaluate(M.train(train, kind).transform(test)).where(F.col("cls") == "macro avg")
-        r = rep.select(F.lit(kind).alias("model"), F.col("f1"))
-        rows = r if rows is None else rows.unionByName(r)
-    best = rows.agg(F.max_by("model", "f1").alias("best"))
-    return rows.crossJoin(best).select("model", "f1", (F.col("model") == F.col("best")).alias("is_best"))
-
-
-@query("feature_importance_topk")
-def feature_importance_topk(spark, sf):
-    """M8 / K0f: top 20 forest features by importance, named by vocabulary term."""
-    x, _, tm = _features(spark, sf)
-    model = M.train(M.with_class_weights(x), "forest")
-    return M.feature_importance(model, tm, 20)
-
-
-@query("kfold_scores")
-def kfold_scores(spark, sf):
-    """3-fold macro F1 mean / std."""
-    x, _, _ = _features(spark, sf)
-    return M.kfold_scores(M.with_class_weights(x).cache(), 3)
-
-
-@query("train_pipeline")
-def train_pipeline(spark, sf):
-    """For each target: split -> features -> fit -> evaluate -> select -> report; a target
-    that cannot be trained is reported as failed and does not stop the others."""
-    from tessera.operators.features import selection_status
-    out = None
-    for target in ("category", "quality", "priority"):
-        try:
-            sp, _, _ = _split_features(spark, sf, target)
-            model = M.train(M.with_class_weights(sp.where((F.col("split") == "train") & (F.col("label") >= 0))), "logistic")
-            rep = M.evaluate(model.transform(sp.where(F.col("split") == "test"))).where(F.col("cls") == "macro avg")
-            row = rep.select(F.lit(target).alias("target"), F.col("f1").alias("f1_score"), F.lit("LogisticRegression").alias("model_type"),
-                             F.lit(int(model.stages[-1].numFeatures)).alias("features_count"))
-        except Exception as e:  # noqa: BLE001  recorded in the report
-            row = spark.createDataFrame([(target, None, type(e).__name__, 0)], "target string, f1_score double, model_type string, features_count int")
-        out = row if out is None else out.unionByName(row)
-    return selection_status(out, "f1_score", 0.5).withColumn("created_at", F.current_timestamp().cast("string"))
-
-
-@query("model_info")
-def model_info(spark, sf):
-    """Saved model inventory (type, number of features), read back from the saved pipeline."""
-    from pyspark.ml import PipelineModel
-    x, _, _ = _features(spark, sf)
-    model = M.train(M.with_class_weights(x), "logistic")
-    path = IO.scratch_path(spark, "model")
-    model.write().overwrite().save(path)
-    m = PipelineModel.load(path).stages[-1]
-    return spark.createDataFrame([(type(m).__name__, int(m.numFeatures), int(m.numClasses))],
-                                 "model_type string, features_count int, classes int")
-
-
-@query("run_log")
-def run_log(spark, sf):
-    """Parameters and metrics of a run appended to a runs table (run_id, kind, key, value)."""
-    x, _, _ = _features(spark, sf)
-    model = M.train(M.with_class_weights(x), "logistic")
-    lr = model.stages[-1]
-    rep = M.evaluate(model.transform(x)).where(F.col("cls") == "macro avg")
-    run = F.lit("run-" + lr.uid)
-    params = spark.createDataFrame([("param", "maxIter", float(lr.getMaxIter())), ("param", "regParam", lr.getRegParam())],
-                                   "kind string, key string, value double")
-    metrics = rep.select(F.lit("metric").alias("kind"), F.lit("f1_macro").alias("key"), F.col("f1").alias("value"))
-    runs = params.unionByName(metrics).select(run.alias("run_id"), "kind", "key", "value")
-    path = IO.scratch_path(spark, "runs")
-    runs.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
-@query("stream_score")
-def stream_score(spark, sf):
-    """V7: a model fitted on the document tickets scores rows arriving on a stream (foreachBatch)."""
-    x, _, _ = _features(spark, sf)
-    model = M.train(M.with_class_weights(x), "logistic")
-    path = IO.scratch_path(spark, "features")
-    x.select("doc_id", "features", "label").write.mode("overwrite").parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)  # a directory
-
-    def score(batch, batch_id):
-        return model.transform(batch).select("doc_id", "label", "prediction")
-
-    return V.run_to_table(spark, stream, [], "score", per_batch=score)
-
-
 # ---------------------------------------------------------------- S1-S9 (write, read back)
 TEXT_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("subject", T.StringType()),
                             T.StructField("description", T.StringType()), T.StructField("category", T.StringType()),
@@ -252,35 +127,6 @@ def split_sink(spark, sf):
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("feature_store_scan")
-def feature_store_scan(spark, sf):
-    """Feature rows partitioned by split and target; the test split is read by partition pruning."""
-    x, _, _ = _features(spark, sf)
-    sp = P.split_stratified(x.select("doc_id", "features", "label", "category"), "doc_id", "category")
-    path = IO.scratch_path(spark, "feature_store")
-    IO.write_partitioned(sp.withColumn("target", F.lit("category")), path, ["split", "target"])
-    return IO.scan_partition(spark, path, split="test", target="category").select("doc_id", "label")
-
-
-def _state(vocab, labels):
-    v = vocab.select(F.lit("term").alias("kind"), F.col("term").alias("name"), F.col("term_index").cast("long").alias("code"), "df", F.round("idf", 9).alias("idf"))
-    c = labels.select(F.col("column").alias("kind"), F.col("value").alias("name"), "code", F.lit(0).cast("long").alias("df"), F.lit(0.0).alias("idf"))
-    return v.unionByName(c).groupBy("kind", "name", "code", "df", "idf").count()
-
-
-@query("transformer_roundtrip")
-def transformer_roundtrip(spark, sf):
-    """Fitted state (vocabulary with df and idf, label index) saved and loaded back: every row of
-    either side, with ``same`` telling whether both hold it."""
-    x, idx, tm = _features(spark, sf)
-    base = IO.scratch_path(spark, "fitted")
-    IO.save_tables({"vocab": tm.vocab, "labels": idx}, base)
-    back = IO.load_tables(spark, base, ["vocab", "labels"])
-    saved, loaded = _state(tm.vocab, idx), _state(back["vocab"], back["labels"])
-    return loaded.join(saved.withColumnsRenamed({"count": "before"}), ["kind", "name", "code", "df", "idf"], "full").withColumn(
-        "same", F.col("count").eqNullSafe(F.col("before"))).drop("before")
-
-
 @query("index_roundtrip", _fast_sql(False))
 def index_roundtrip(spark, sf):
     """The fast index written as tables, read back, and searched from the reloaded tables."""
@@ -292,12 +138,3 @@ def index_roundtrip(spark, sf):
     re = R.SolutionIndex("fast", t["docs"], TfidfModel(idx.tfidf.cfg, t["vocab"], t["postings"]), t["entities"],
                          idx.patterns)
     return R.search_fast(re, benchmark_queries(spark, sf), 10).withColumn("rank", F.col("rank").cast("long"))
-
-
-@query("results_sink")
-def results_sink(spark, sf):
-    """The selection report written as JSON and read back with a schema."""
-    rep = train_pipeline(spark, sf)
-    path = IO.scratch_path(spark, "report")
-    IO.write_json(rep, path)
-    return IO.scan_json(spark, path, rep.schema)

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,11 +71,11 @@ def load_tables(spark: SparkSession, base: str, names: list[str]) -> dict[str, D
     return {n: spark.read.parquet(f"{base}/{n}") for n in names}
 
 
-def load_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table at ``path`` if it exists, else an empty frame of the schema."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(hpath):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+def scan_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The JSON report at ``path``; one that does not exist is empty."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
