@@ -34,6 +34,8 @@ ENTITY_PATTERNS_ULTRA: dict[str, str] = {
     "products": r"\b(?:datasync|pro)\b",
     "tech": r"\b(?:database|timeout|api)\b",
 }
+# Not the reference's: long words, the entities of corpora that hold no error codes or product names.
+LONG_WORDS: dict[str, str] = {"long_words": r"\b\w{12,}\b"}
 # Token rule of the vectorisers: runs of 2+ letters, digits or underscores.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # Characters kept by the notebook's text cleaner (everything else becomes a space).
@@ -71,11 +73,6 @@ def combine_text(*cols: Column) -> Column:
     return F.concat(*parts)
 
 
-def ascii_blank(c: Column) -> Column:
-    """Replace every non-ASCII character by a space (engine-neutral regex input)."""
-    return F.regexp_replace(c, r"[^\x00-\x7F]", " ")
-
-
 def text_length(c: Column) -> Column:
     """Character length, 0 for null."""
     return F.length(null_to_empty(c))
@@ -118,42 +115,6 @@ def tokens(c: Column, strip_accents: bool = False) -> Column:
     return F.regexp_extract_all(x, F.lit(TOKEN_PATTERN), 0)
 
 
-def drop_stop_words(toks: Column, stop_words: Sequence[str] | None) -> Column:
-    if not stop_words:
-        return toks
-    stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
-
-
-def _gram(toks: Column, n: int):
-    def f(i: Column) -> Column:
-        return F.array_join(F.slice(toks, i, n), " ")
-    return f
-
-
-def ngrams(toks: Column, n_min: int = 1, n_max: int = 1) -> Column:
-    """Word n-grams for n in [n_min, n_max], joined by one space, in the vectoriser's order
-    (all unigrams, then all bigrams, ...)."""
-    out: list[Column] = []
-    for n in range(n_min, n_max + 1):
-        if n == 1:
-            out.append(toks)
-            continue
-        grams = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), _gram(toks, n))
-        out.append(F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>")))
-    return out[0] if len(out) == 1 else F.concat(*out)
-
-
-def analyse(c: Column, ngram_range: tuple[int, int] = (1, 1), stop_words: Sequence[str] | None = None,
-            strip_accents: bool = False) -> Column:
-    """C7 for unigrams only: tokenise -> drop stop words. For n > 1 use ``with_terms``, which
-    materialises the token array first (a lambda over an unmaterialised expression would
-    re-evaluate the tokeniser for every element)."""
-    if ngram_range != (1, 1):
-        raise ValueError("use with_terms for n-grams")
-    return drop_stop_words(tokens(c, strip_accents), stop_words)
-
-
 def with_terms(df: DataFrame, text_col: str, out_col: str, ngram_range: tuple[int, int] = (1, 1),
                stop_words: Sequence[str] | None = None, strip_accents: bool = False) -> DataFrame:
     """Tokenise -> drop stop words -> n-grams, as an array column ``out_col``.

@@ -11,7 +11,6 @@ from tessera.operators import sampling as P
 from tessera.operators.tfidf import CONFIGS, fit_transform
 from tessera.plans import sqlparts as S
 from tessera.plans.registry import query
-from tessera.plans.text_quality import v_text_ascii
 from tessera.sources.tables import benchmark_queries, conversation_queries, table, v_event, v_text
 
 FULL = T.ENTITY_PATTERNS_FULL
@@ -24,8 +23,8 @@ def _docs_cte(name: str, view: str) -> str:
          product, category, subcategory FROM {view})"""
 
 
-def _q_cte(name: str = "q", filters: bool = False, ascii_blank: bool = False) -> str:
-    txt = "regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')" if ascii_blank else "text"
+def _q_cte(name: str = "q", filters: bool = False) -> str:
+    txt = "text"
     if filters:
         f = ("(['de','en','es','fr'])[CAST(item_id % 4 AS INTEGER) + 1] AS q_category, "
              "CAST(NULL AS VARCHAR) AS q_subcategory, 'src' || CAST(item_id % 20 AS VARCHAR) AS q_product")
@@ -35,26 +34,20 @@ def _q_cte(name: str = "q", filters: bool = False, ascii_blank: bool = False) ->
 
 
 CONV_Q = ("qc AS (SELECT conv_id * 1000 + turn AS query_id, "
-          + S.norm("regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')") + " AS q_text FROM conversations)")
-
-
-def _conv_queries(spark, sf):
-    q = conversation_queries(spark, sf)
-    return q.withColumn("query", T.ascii_blank(F.col("query")))
+          + S.norm("text") + " AS q_text FROM conversations)")
 
 
 def _ents_cte(name: str, src: str, id_col: str, text_col: str, pats: dict) -> str:
     return f"""{name} AS (SELECT {id_col}, e.type AS type, e.value AS value FROM (
-  SELECT {id_col}, unnest({S.entity_list(text_col, pats)}) AS e FROM {src}))"""
+  SELECT {id_col}, unnest({S.entity_list_unicode(text_col, pats)}) AS e FROM {src}))"""
 
 
-def _ascii_queries(spark, sf, filters=False):
-    q = benchmark_queries(spark, sf, filters)
-    return q.withColumn("query", T.ascii_blank(F.col("query")))
+#: The reference's patterns and the corpus's long words, which the passages and documents share.
+PATTERNS, PATTERNS_SQL = FULL | T.LONG_WORDS, S.UNICODE_FULL | S.UNICODE_LONG
 
 
 def _full_index(spark, sf):
-    return R.build_index(v_text_ascii(spark, sf), "full")
+    return R.build_index(v_text(spark, sf), "full", patterns=PATTERNS)
 
 
 # ---------------------------------------------------------------- K1 / J2, G16, X1, X8
@@ -106,8 +99,8 @@ def tfidf_sublinear(spark, sf):
 
 
 # ---------------------------------------------------------------- J1, U2, K4
-ENT_CTES = [_docs_cte("docs", "v_text_ascii"), CONV_Q,
-            _ents_cte("de", "docs", "doc_id", "text", FULL), _ents_cte("qe", "qc", "query_id", "q_text", FULL)]
+ENT_CTES = [_docs_cte("docs", "v_text"), CONV_Q,
+            _ents_cte("de", "docs", "doc_id", "text", PATTERNS_SQL), _ents_cte("qe", "qc", "query_id", "q_text", PATTERNS_SQL)]
 
 
 @query("join_entity_probe", S.with_views("""
@@ -116,7 +109,7 @@ GROUP BY query_id, doc_id""", *ENT_CTES))
 def join_entity_probe(spark, sf):
     """Entities of conversation turns probe the document entity postings (join on value)."""
     idx = _full_index(spark, sf)
-    qe = R.query_entities(R.prepare_queries(_conv_queries(spark, sf)), FULL)
+    qe = R.query_entities(R.prepare_queries(conversation_queries(spark, sf)), PATTERNS)
     post = idx.entities.select("doc_id", "value").distinct()
     return qe.join(post, "value").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -127,7 +120,7 @@ SELECT DISTINCT query_id, doc_id, value FROM qe JOIN (SELECT DISTINCT doc_id, va
 def intersect_entities(spark, sf):
     """The entity values a conversation turn shares with each document."""
     idx = _full_index(spark, sf)
-    qe = R.query_entities(R.prepare_queries(_conv_queries(spark, sf)), FULL)
+    qe = R.query_entities(R.prepare_queries(conversation_queries(spark, sf)), PATTERNS)
     return qe.select("query_id", "value").join(idx.entities.select("doc_id", "value"), "value").select(
         "query_id", "doc_id", "value").distinct()
 
@@ -139,13 +132,13 @@ SELECT query_id, doc_id, round(n / max(n) OVER (PARTITION BY query_id), 6) AS en
 def search_entity(spark, sf):
     """K4: full pattern set; a document value counts once per entity type it was found under."""
     idx = _full_index(spark, sf)
-    s = R.entity_scores(idx, R.prepare_queries(_conv_queries(spark, sf)))
+    s = R.entity_scores(idx, R.prepare_queries(conversation_queries(spark, sf)))
     return s.select("query_id", "doc_id", R.r6(F.col("entity_score")).alias("entity_score"))
 
 
 # ---------------------------------------------------------------- K5, H1-H5, G17, J9, J7
-GRAPH_SQL_CTES = [_docs_cte("docs", "v_text_ascii"), _q_cte(filters=True, ascii_blank=True),
-                  _ents_cte("de", "docs", "doc_id", "text", FULL), _ents_cte("qe", "q", "query_id", "q_text", FULL)]
+GRAPH_SQL_CTES = [_docs_cte("docs", "v_text"), _q_cte(filters=True),
+                  _ents_cte("de", "docs", "doc_id", "text", PATTERNS_SQL), _ents_cte("qe", "q", "query_id", "q_text", PATTERNS_SQL)]
 
 
 @query("search_graph", S.with_views("""
@@ -157,7 +150,7 @@ SELECT query_id, doc_id, round(s / max(s) OVER (PARTITION BY query_id), 6) AS gr
   GROUP BY query_id, doc_id)""", *GRAPH_SQL_CTES))
 def search_graph(spark, sf):
     idx = _full_index(spark, sf)
-    s = R.graph_scores(idx, R.prepare_queries(_ascii_queries(spark, sf, True)))
+    s = R.graph_scores(idx, R.prepare_queries(benchmark_queries(spark, sf, True)))
     return s.select("query_id", "doc_id", R.r6(F.col("graph_score")).alias("graph_score"))
 
 
@@ -201,7 +194,7 @@ QNODES_SQL = """qnodes AS (
 
 
 def _query_nodes(spark, sf, idx):
-    q = R.prepare_queries(_ascii_queries(spark, sf, True))
+    q = R.prepare_queries(benchmark_queries(spark, sf, True))
     qe = R.query_entities(q, idx.patterns)
     return qe.select("query_id", H.entity_node(F.col("type"), F.col("value")).alias("node")).unionByName(
         q.where(F.col("q_category").isNotNull()).select("query_id", F.concat(F.lit("category_"), "q_category").alias("node"))
@@ -299,6 +292,18 @@ def anti_unseen_labels(spark, sf):
     return sp.where(F.col("split") == "test").join(train, "product", "left_anti").select("id", "product")
 
 
+@query("anti_unseen_customers", """
+WITH sp AS (SELECT o_orderkey AS id, o_custkey AS customer, CASE WHEN r < floor(0.7 * n) THEN 'train' WHEN r < floor(0.7 * n) + floor(0.15 * n) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders))
+SELECT id, customer FROM sp WHERE split = 'test' AND customer NOT IN (SELECT customer FROM sp WHERE split = 'train')""")
+def anti_unseen_customers(spark, sf):
+    """J10 for a label of many values: test orders of customers that the train split has not seen."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"))
+    sp = P.split_ordered(o, "id")
+    train = sp.where(F.col("split") == "train").select("customer").distinct()
+    return sp.where(F.col("split") == "test").join(train, "customer", "left_anti").select("id", "customer")
+
+
 # ---------------------------------------------------------------- K10, K13, K17, K18
 @query("success_rate", S.with_views("""
 SELECT id, 0.7 * (CASE WHEN coalesce(resolution_helpful, true) THEN 1.0 ELSE 0.0 END)

@@ -19,12 +19,6 @@ V_TEXT = """v_text AS (
          CAST(1 + d.doc_id % 5 AS DOUBLE) AS satisfaction_score, l.quality, l.toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
-V_TEXT_ASCII = """v_text_ascii AS (
-  SELECT id, regexp_replace(subject, '[^\\x00-\\x7F]', ' ', 'g') AS subject,
-         regexp_replace(description, '[^\\x00-\\x7F]', ' ', 'g') AS description,
-         product, category, subcategory, resolution_helpful, satisfaction_score, quality, toxic
-  FROM v_text)"""
-
 V_EVENT = """v_event AS (
   SELECT event_id AS id, ts AS created_at, user_id, event_type AS category, value AS resolution_time_hours,
          'prod' || CAST(user_id % 4 AS VARCHAR) AS product, CAST(user_id % 10 AS VARCHAR) AS agent_id,
@@ -42,7 +36,7 @@ V_ORDER = """v_order AS (
          c.c_acctbal AS account_monthly_value
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
 
-VIEWS = {"v_text": V_TEXT, "v_text_ascii": V_TEXT_ASCII, "v_event": V_EVENT, "v_order": V_ORDER}
+VIEWS = {"v_text": V_TEXT, "v_event": V_EVENT, "v_order": V_ORDER}
 
 
 def with_views(sql_body: str, *extra_ctes: str) -> str:
@@ -51,9 +45,6 @@ def with_views(sql_body: str, *extra_ctes: str) -> str:
     for name, cte in VIEWS.items():
         if name in sql_body or any(name in e for e in extra_ctes):
             ctes.append(cte)
-    if "v_text_ascii" in sql_body or any("v_text_ascii" in e for e in extra_ctes):
-        if V_TEXT not in ctes:
-            ctes.insert(0, V_TEXT)
     ctes.extend(extra_ctes)
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + sql_body
 
@@ -130,6 +121,40 @@ def query_vec_cte(prefix: str, queries: str, cfg) -> list[str]:
     ]
 
 
+# The twins' Unicode word classes (RE2's \\w, \\d and \\b are ASCII). Separators are doubled first, so a match may
+# take one on each side, as \\b would see it, and leave the other to the next match.
+W, D = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]", r"\p{Nd}"
+GAP = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
+UNICODE_FULL = {
+    "error_codes": rf"(?:error|err)(?:--|_)?{W}*(?:--|_)?{D}+|{W}+(?:--|_)?(?:error|err)",
+    "product_names": r"datasync|pro|enterprise|basic|premium",
+    "technical_terms": r"database|connection|timeout|api|server|client|sync|backup|restore",
+    "version_numbers": rf"v?{D}+\.\.{D}+(?:\.\.{D}+)?",
+    "status_codes": r"200|404|500|503|401|403",
+}
+UNICODE_FAST = {
+    "errors": rf"(?:error|err)(?:--|_)?{W}*(?:--|_)?{D}+",
+    "products": r"datasync|pro|enterprise|basic|premium",
+    "tech_terms": r"database|connection|timeout|api|server",
+    "codes": rf"{D}{{3,4}}",
+}
+UNICODE_ULTRA = {"errors": rf"error(?:--|_)?{W}*", "products": r"datasync|pro", "tech": r"database|timeout|api"}
+# the corpus's own vocabulary: long words, which passages and documents share
+UNICODE_LONG = {"long_words": rf"{W}{{12,}}"}
+
+
+def entity_list_unicode(x: str, patterns: dict, distinct: bool = True) -> str:
+    """As ``entity_list`` for patterns of the sets above; x is read as it is."""
+    doubled = f"regexp_replace(lower(coalesce({x}, '')), {lit('(' + GAP + ')')}, {lit(chr(92) + '1' + chr(92) + '1')}, 'g')"
+    parts = []
+    for name, pat in patterns.items():
+        m = f"list_transform(regexp_extract_all(t, {lit(f'(?:^|{GAP})({pat})(?:$|{GAP})')}, 1), lambda v: replace(replace(v, '--', '-'), '..', '.'))"
+        if distinct:
+            m = f"list_distinct({m})"
+        parts.append(f"list_transform({m}, lambda v: {{'type': {lit(name)}, 'value': v}})")
+    return f"(list_transform([{doubled}], lambda t: {' || '.join(parts)}))[1]"
+
+
 def entity_list(x: str, patterns: dict, distinct: bool = True) -> str:
     """list of struct(type, value) for each pattern over lower(x)."""
     parts = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.stopwords import spark_stop_words
 from tessera.operators import quality as Q
 from tessera.operators import sampling as P
 from tessera.operators.retrieval import doc_entities
@@ -12,16 +13,6 @@ from tessera.plans import sqlparts as S
 from tessera.plans.registry import query
 from tessera.sources.tables import benchmark_queries, table, v_event, v_text
 
-ASCII_BLANK_SQL = "regexp_replace({x}, '[^\\x00-\\x7F]', ' ', 'g')"
-
-
-def v_text_ascii(spark, sf):
-    """v_text with non-ASCII characters blanked: the engine-neutral input for \\b / \\w regexes."""
-    v = v_text(spark, sf)
-    return v.withColumn("subject", T.ascii_blank(F.col("subject"))).withColumn(
-        "description", T.ascii_blank(F.col("description")))
-
-
 # ---------------------------------------------------------------- C1, C2, C3, C9, F11
 @query("text_normalise", S.with_views(f"SELECT id, {S.norm('subject')} AS subject_norm FROM v_text"))
 def text_normalise(spark, sf):
@@ -58,10 +49,10 @@ def preview_text(spark, sf):
 # ---------------------------------------------------------------- C4-C7
 @query("extract_entities", S.with_views(f"""
 SELECT id, e.type AS type, e.value AS value FROM (
-  SELECT id, unnest({S.entity_list("subject || ' ' || description", T.ENTITY_PATTERNS_FULL)}) AS e FROM v_text_ascii)"""))
+  SELECT id, unnest({S.entity_list_unicode("subject || ' ' || description", S.UNICODE_FULL)}) AS e FROM v_text)"""))
 def extract_entities(spark, sf):
-    v = v_text_ascii(spark, sf).select(F.col("id").alias("doc_id"),
-                                       F.concat(F.col("subject"), F.lit(" "), F.col("description")).alias("text"))
+    v = v_text(spark, sf).select(F.col("id").alias("doc_id"),
+                                 F.concat(F.col("subject"), F.lit(" "), F.col("description")).alias("text"))
     return doc_entities(v, T.ENTITY_PATTERNS_FULL).withColumnRenamed("doc_id", "id")
 
 
@@ -73,12 +64,14 @@ def extract_entities_fast(spark, sf):
 
 
 @query("extract_entities_ultra", f"""
-SELECT doc_id, e.type AS type, e.value AS value FROM (
-  SELECT doc_id, unnest({S.entity_list(ASCII_BLANK_SQL.format(x='text'), T.ENTITY_PATTERNS_ULTRA, False)}) AS e
-  FROM documents)""")
+SELECT id, e.type AS type, e.value AS value FROM (
+  SELECT event_id AS id, unnest({S.entity_list_unicode("event_type || '-' || CAST(user_id AS VARCHAR) || ' ' || props", S.UNICODE_ULTRA, False)}) AS e FROM events
+  UNION ALL SELECT doc_id, unnest({S.entity_list_unicode('text', S.UNICODE_ULTRA, False)}) FROM documents)""")
 def extract_entities_ultra(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.ascii_blank(F.col("text")).alias("text"))
-    return doc_entities(d, T.ENTITY_PATTERNS_ULTRA, distinct=False)
+    """C6 over the event messages (which name errors) and the documents; repeated matches stay."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.concat("event_type", F.lit("-"), F.col("user_id").cast("string"), F.lit(" "), "props").alias("text"))
+    both = e.unionByName(table(spark, sf, "documents").select("doc_id", "text"))
+    return doc_entities(both, T.ENTITY_PATTERNS_ULTRA, distinct=False).withColumnRenamed("doc_id", "id")
 
 
 @query("tokenise_ngrams", f"""
@@ -86,7 +79,7 @@ SELECT doc_id, term, count(*) AS n FROM (
   SELECT doc_id, unnest({S.terms('text', (1, 3), False, True)}) AS term FROM documents) GROUP BY doc_id, term""")
 def tokenise_ngrams(spark, sf):
     d = T.with_terms(table(spark, sf, "documents").select("doc_id", "text"), "text", "terms", (1, 3),
-                     __import__("tessera.functions.stopwords", fromlist=["x"]).spark_stop_words())
+                     spark_stop_words())
     return d.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(
         F.count(F.lit(1)).alias("n"))
 
