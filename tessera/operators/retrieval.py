@@ -17,11 +17,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.sampling import row_index
+from tessera.operators.semantic import feedback_vectors, semantic_of, semantic_top_k
 from tessera.operators.tfidf import CONFIGS, TfidfConfig, TfidfModel, fit_transform
+from tessera.sources.files import materialise, save_bucketed
 
 ROUND = 6
 
@@ -127,6 +130,35 @@ def build_index(solutions: DataFrame, mode: str = "fast", tfidf_cfg: TfidfConfig
     return SolutionIndex(mode, docs, model, ents.persist(StorageLevel.MEMORY_AND_DISK), pats)
 
 
+def save_index(index: SolutionIndex, base: str, buckets: int = 16) -> dict[str, str]:
+    """Postings and vocabulary bucketed by term, documents and entities by doc_id; names of the tables."""
+    parts = {"docs": (index.docs, "doc_id"), "vocab": (index.tfidf.vocab, "term"), "postings": (index.postings, "term"), "entities": (index.entities, "doc_id")}
+    return {name: save_bucketed(df, f"{base}/{name}", by, buckets) for name, (df, by) in parts.items()}
+
+
+def load_index(spark: SparkSession, tables: dict[str, str], mode: str, cfg: TfidfConfig, patterns: dict) -> SolutionIndex:
+    t = {name: spark.table(table) for name, table in tables.items()}
+    return SolutionIndex(mode, t["docs"], TfidfModel(cfg, t["vocab"], t["postings"]), t["entities"], patterns)
+
+
+def posting_chunks(long: DataFrame, size: int = 1024) -> DataFrame:
+    """(kind, key, chunk, first_id, n, gaps): posting lists of a long table (kind, key, id; distinct) in chunks of ``size``
+    ids, the first and the differences to the one before. A hot key is many chunks; its ids are ranked by ranges, not in one task."""
+    placed = row_index(long, ["kind", "key", "id"])
+    first = placed.groupBy("kind", "key").agg(F.min("row_idx").alias("_first"))
+    chunk = F.floor((F.col("row_idx") - F.col("_first")) / size)
+    lists = placed.join(first, ["kind", "key"]).groupBy("kind", "key", chunk.alias("chunk")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    gaps = F.zip_with(F.slice("ids", F.lit(2), F.size("ids")), F.slice("ids", F.lit(1), F.size("ids") - 1), lambda b, a: b - a)
+    return lists.select("kind", "key", "chunk", F.col("ids")[0].alias("first_id"), F.size("ids").cast("long").alias("n"), gaps.alias("gaps"))
+
+
+def posting_ids(chunks: DataFrame) -> DataFrame:
+    """The long table (kind, key, id) of posting chunks."""
+    start = F.array(F.struct(F.col("first_id").alias("id")))
+    ids = F.aggregate("gaps", start, lambda acc, g: F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["id"] + g).alias("id")))))
+    return chunks.select("kind", "key", F.explode(ids).alias("p")).select("kind", "key", "p.id")
+
+
 # --------------------------------------------------------------------------------------------
 # Query batch
 # --------------------------------------------------------------------------------------------
@@ -250,23 +282,6 @@ def graph_scores(index: SolutionIndex, q: DataFrame) -> DataFrame:
     return normalise_by_query_max(summed, "graph_score")
 
 
-def semantic_scores(doc_vecs: DataFrame, query_vecs: DataFrame, id_col: str = "doc_id",
-                    vec_col: str = "embedding") -> DataFrame:
-    """K3 (J3): cosine similarity of embeddings for every (query, document) pair.
-
-    The query batch is the broadcast side; its size is checked by the caller
-    (``check_broadcast_rows``) because every document meets every query.
-    """
-    def unit(c: Column) -> Column:
-        n = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(c, lambda x: x / n)
-
-    d = doc_vecs.select(F.col(id_col).alias("doc_id"), unit(F.col(vec_col)).alias("dv"))
-    qv = query_vecs.select("query_id", unit(F.col(vec_col)).alias("qv"))
-    dot = F.aggregate(F.zip_with("qv", "dv", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    return d.crossJoin(F.broadcast(qv)).select("query_id", "doc_id", dot.alias("semantic_score"))
-
-
 # --------------------------------------------------------------------------------------------
 # Merge, filter, rank
 # --------------------------------------------------------------------------------------------
@@ -299,9 +314,21 @@ def filter_condition(cat: Column, sub: Column, prod: Column, q_cat: Column, q_su
     return one(cat, q_cat) & one(sub, q_sub) & one(prod, q_prod)
 
 
-def with_doc_fields(scores: DataFrame, index: SolutionIndex, q: DataFrame) -> DataFrame:
-    """Attach document metadata and the query's filters to candidate rows."""
-    return scores.join(index.docs.drop("text"), "doc_id").join(q.drop("q_text"), "query_id")
+FIELDS = ("category", "subcategory", "product")
+
+
+def with_filter_fields(scores: DataFrame, index: SolutionIndex, q: DataFrame) -> DataFrame:
+    """The document's filter columns and success rate, and the query's filters. Texts come after the cut (``with_texts``)."""
+    return scores.join(index.docs.select("doc_id", *FIELDS, "success_rate"), "doc_id").join(q.drop("q_text"), "query_id")
+
+
+def with_texts(rows: DataFrame, index: SolutionIndex) -> DataFrame:
+    """Title and content of the rows that are returned."""
+    return rows.join(index.docs.select("doc_id", "title", "content"), "doc_id")
+
+
+def passes() -> Column:
+    return filter_condition(*map(F.col, FIELDS), *[F.col(f"q_{c}") for c in FIELDS])
 
 
 def top_k(df: DataFrame, k: int, order: list[Column], rank_col: str = "rank") -> DataFrame:
@@ -310,40 +337,60 @@ def top_k(df: DataFrame, k: int, order: list[Column], rank_col: str = "rank") ->
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def first_docs(index: SolutionIndex, q: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` documents by doc_id that pass each query's filters.
+def first_docs(docs: DataFrame, q: DataFrame, n: int, per: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, doc_id): the first ``n`` documents by id that pass each query's filters, of each value of ``per``.
 
-    Used to fill result lists with zero-score documents, as the reference's dense scoring does.
-    Queries are grouped by their filter tuple; each null pattern is an equi-join on the set
-    columns (the all-null tuple is at most one row), then a per-tuple top-n.
-    """
-    docs = index.docs.select("doc_id", "category", "subcategory", "product")
-    keys = ["q_category", "q_subcategory", "q_product"]
-    tuples = q.select(*keys).distinct()
-    parts = []
-    doc_key = {"q_category": "category", "q_subcategory": "subcategory", "q_product": "product"}
+    They stand for the documents that no sparse channel finds: those of one class (``per``) have one score, so only
+    the first of them can be returned. ``docs`` is read once, down to the first ``n`` of each combination of filter
+    columns; these meet the filter tuples that occur, under every set of columns that a tuple may name."""
+    w = Window.partitionBy(*FIELDS).orderBy("doc_id")
+    heads = docs.select("doc_id", *FIELDS).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    keys = [f"k_{c}" for c in FIELDS]
+    nothing = F.lit(None).cast("string")
+    forms = []
     for mask in range(8):
-        set_cols = [k for i, k in enumerate(keys) if mask >> i & 1]
-        null_cols = [k for k in keys if k not in set_cols]
-        t = tuples.where(F.lit(True) if not null_cols else
-                         F.expr(" AND ".join(f"{c} IS NULL" for c in null_cols)))
-        for c in set_cols:
-            t = t.where(F.col(c).isNotNull())
-        if set_cols:
-            lhs = docs.select("doc_id", *[F.lower(F.col(doc_key[c])).alias(c) for c in set_cols])
-            rhs = t.select(*[F.lower(F.col(c)).alias(c) for c in set_cols], *[F.col(c).alias("_o_" + c) for c in set_cols]).distinct()
-            j = lhs.join(rhs, set_cols)
-            part = j.select("doc_id", *[F.col("_o_" + c).alias(c) for c in set_cols],
-                            *[F.lit(None).cast("string").alias(c) for c in null_cols])
-        else:
-            part = docs.select("doc_id").crossJoin(F.broadcast(t.limit(1)))  # at most one all-null tuple
-        w = Window.partitionBy(*keys).orderBy("doc_id")
-        parts.append(part.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn"))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    cond = [q[k].eqNullSafe(allp[k]) for k in keys]
-    return q.join(allp, cond).select(q.query_id, allp.doc_id)
+        named = [c for i, c in enumerate(FIELDS) if mask >> i & 1]
+        form = F.struct(*[(F.lower(c) if c in named else nothing).alias(f"k_{c}") for c in FIELDS])
+        has = F.lit(True)
+        for c in named:
+            has = has & F.col(c).isNotNull()
+        forms.append(F.when(has, form))
+    seen = heads.select("doc_id", *FIELDS, F.explode(F.array_compact(F.array(*forms))).alias("k")).select("doc_id", *FIELDS, "k.*")
+    asked = q.select("query_id", *[F.lower(f"q_{c}").alias(f"k_{c}") for c in FIELDS])
+    tuples = asked.select(*keys).distinct()
+    met = seen.join(tuples, [seen[k].eqNullSafe(tuples[k]) for k in keys]).select(seen["*"])
+    w = Window.partitionBy(*keys, *per).orderBy("doc_id")
+    best = met.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).select("doc_id", *keys)
+    return asked.join(best, [asked[k].eqNullSafe(best[k]) for k in keys]).select("query_id", "doc_id")
+
+
+def class_scores(index: SolutionIndex, q: DataFrame) -> DataFrame:
+    """K6 as a factor: (query_id, category, category_score) for the categories that score; the documents of a category share it."""
+    own = q.where(F.col("q_category").isNotNull()).select("query_id", F.col("q_category").alias("category"), F.lit(CATEGORY_BOOST).alias("s"))
+    via = q.select("query_id", F.col("q_product").alias("product")).join(product_categories(index), "product").select("query_id", "category", F.lit(PRODUCT_CATEGORY_BOOST).alias("s"))
+    return own.unionByName(via).where(F.col("category").isNotNull()).groupBy("query_id", "category").agg(F.sum("s").alias("category_score"))
+
+
+def graph_class() -> Column:
+    """K5's part that depends on the document's category and product only."""
+    cat = F.when(F.col("category") == F.col("q_category"), GRAPH_RELATION_WEIGHTS["categorized_as"]).otherwise(0.0)
+    prod = F.when(F.col("product") == F.col("q_product"), GRAPH_RELATION_WEIGHTS["belongs_to"]).otherwise(0.0)
+    return cat + prod
+
+
+def entity_nodes(index: SolutionIndex, q: DataFrame) -> DataFrame:
+    """(query_id, doc_id, graph_entities): the summed 'contains' edges from the query's entity nodes."""
+    hits = query_entities(q, index.patterns).join(index.entities, ["type", "value"])
+    return hits.groupBy("query_id", "doc_id").agg((F.count(F.lit(1)) * GRAPH_RELATION_WEIGHTS["contains"]).alias("graph_entities"))
+
+
+def graph_maxima(index: SolutionIndex, q: DataFrame, ent: DataFrame) -> DataFrame:
+    """(query_id, graph_max): the largest graph sum of any document, from the entity hits and the (product, category) pairs."""
+    f = q.select("query_id", "q_category", "q_product")
+    pairs = product_categories(index)
+    by = [f.join(pairs, F.col(a) == F.col(b)).select("query_id", graph_class().alias("g")) for a, b in (("q_category", "category"), ("q_product", "product"))]
+    hit = ent.join(index.docs.select("doc_id", "category", "product"), "doc_id").join(f, "query_id").select("query_id", (F.col("graph_entities") + graph_class()).alias("g"))
+    return by[0].unionByName(by[1]).unionByName(hit).groupBy("query_id").agg(F.max("g").alias("graph_max"))
 
 
 # --------------------------------------------------------------------------------------------
@@ -352,23 +399,22 @@ def first_docs(index: SolutionIndex, q: DataFrame, n: int) -> DataFrame:
 def search_fast(index: SolutionIndex, queries: DataFrame, limit: int = 10) -> DataFrame:
     """Keyword (floor .01) + entity + category boost, .6/.25/.15; filter, top ``limit``, and
     re-rank by .7*relevance + .3*success (K12). Filters come before any cut, so a query gets up to
-    ``limit`` results whenever they exist (T19, K0b)."""
+    ``limit`` results whenever they exist (T19, K0b).
+
+    The category channel stays factorised: candidates are the keyword and entity hits, and of the documents that have
+    a category score only, the first ``limit`` of each category."""
     q = prepare_queries(queries)
-    merged = merge_scores(
-        {
-            "keyword": keyword_scores(index, q, KEYWORD_FLOOR),
-            "entity": entity_scores(index, q),
-            "category": category_scores(index, q),
-        },
-        FAST_WEIGHTS,
-    )
-    rows = with_doc_fields(merged, index, q)
-    cond = filter_condition(F.col("category"), F.col("subcategory"), F.col("product"),
-                            F.col("q_category"), F.col("q_subcategory"), F.col("q_product"))
-    order = [F.col("relevance_score").desc()]
-    cand = top_k(rows.where(cond), limit, order, "_pre")
+    classes = class_scores(index, q)
+    plain = first_docs(index.docs, q, limit, ("category",)).join(index.docs.select("doc_id", "category"), "doc_id")
+    plain = plain.join(classes.drop("category_score"), ["query_id", "category"], "left_semi")
+    keyword = keyword_scores(index, q, KEYWORD_FLOOR).unionByName(plain.select("query_id", "doc_id", F.lit(0.0).alias("keyword_score")))
+    merged = merge_scores({"keyword": keyword, "entity": entity_scores(index, q)}, FAST_WEIGHTS).drop("relevance_score")
+    rows = with_filter_fields(merged, index, q).where(passes()).join(classes, ["query_id", "category"], "left")
+    rows = rows.withColumn("category_score", F.coalesce("category_score", F.lit(0.0)))
+    rows = rows.withColumn("relevance_score", r6(sum((F.lit(w) * F.col(f"{c}_score") for c, w in FAST_WEIGHTS.items()), F.lit(0.0))))
+    cand = top_k(rows, limit, [F.col("relevance_score").desc()], "_pre")
     final = r6(F.lit(0.7) * F.col("relevance_score") + F.lit(0.3) * F.col("success_rate"))
-    out = top_k(cand, limit, [final.desc(), F.col("_pre").asc()], "rank")
+    out = with_texts(top_k(cand, limit, [final.desc(), F.col("_pre").asc()], "rank"), index)
     return out.select(
         "query_id", "rank", "doc_id", "title", "content",
         "relevance_score", r6(F.col("success_rate")).alias("success_rate"),
@@ -393,42 +439,52 @@ def resolution_adjusted(score: Column, hours: Column) -> Column:
     return F.when(hours < 10, score * 1.2).when(hours > 50, score * 0.8).otherwise(score)
 
 
-def search_full(index: SolutionIndex, queries: DataFrame, limit: int = 10, doc_embeddings: DataFrame | None = None,
-                query_embeddings: DataFrame | None = None) -> DataFrame:
-    """Keyword + semantic + entity + graph; filter; top 2*limit; enhanced re-rank; limit.
+def search_full(index: SolutionIndex, queries: DataFrame, limit: int = 10, embeddings: DataFrame | None = None) -> DataFrame:
+    """Keyword + semantic + entity + graph; filter; top 2*limit; enhanced re-rank (K11); limit.
 
-    Every document has a keyword score in the reference (0 included), so lists are filled with
-    the first zero-score documents (by doc_id) passing the filters.
-    """
+    ``embeddings`` (doc_id, embedding) feeds the semantic channel; a query's vector is the mean of its best keyword
+    hits' vectors (relevance feedback), and without embeddings the weights are .5/.25/.25. Every document is scored in
+    the reference; here the documents that no sparse channel finds come in by the exact semantic top 2*limit and by the
+    first 2*limit of each (category, product), whose scores are equal, so the lists are the same."""
     q = prepare_queries(queries)
-    frames = {
-        "keyword": keyword_scores(index, q),
-        "entity": entity_scores(index, q),
-        "graph": graph_scores(index, q),
-    }
-    weights = FULL_WEIGHTS_NO_EMBEDDINGS
-    if doc_embeddings is not None and query_embeddings is not None:
-        frames["semantic"] = semantic_scores(doc_embeddings, query_embeddings)
-        weights = FULL_WEIGHTS
     k2 = 2 * limit
-    fill = first_docs(index, q, k2).select(
-        "query_id", "doc_id", F.lit(0.0).alias("keyword_score"))
-    frames["keyword"] = frames["keyword"].unionByName(fill)
-    merged = merge_scores(frames, weights)
-    rows = with_doc_fields(merged, index, q)
-    cond = filter_condition(F.col("category"), F.col("subcategory"), F.col("product"),
-                            F.col("q_category"), F.col("q_subcategory"), F.col("q_product"))
-    cand = top_k(rows.where(cond), k2, [F.col("relevance_score").desc()], "_pre")
+    keyword = keyword_scores(index, q)
+    ent = entity_nodes(index, q)
+    peaks = graph_maxima(index, q, ent)
+    zero = lambda df: df.select("query_id", "doc_id", F.lit(0.0).alias("keyword_score"))
+    plain = zero(first_docs(index.docs, q, k2, ("category", "product")))
+    weights, vectors = FULL_WEIGHTS_NO_EMBEDDINGS, None
+    if embeddings is not None:
+        weights = FULL_WEIGHTS
+        keyword = materialise(keyword, "keyword")
+        vectors = materialise(feedback_vectors(keyword, embeddings, "keyword_score"), "query_vectors")
+        share = [F.coalesce(F.lit(weights["graph"] * GRAPH_RELATION_WEIGHTS[r]) / F.col("graph_max"), F.lit(0.0)) for r in ("categorized_as", "belongs_to")]
+        asked = vectors.join(q.drop("q_text"), "query_id").join(peaks, "query_id", "left")
+        known = embeddings.join(index.docs.select("doc_id", *FIELDS), "doc_id")
+        top = semantic_top_k(known, asked, k2, [(F.lower(c), F.lower(f"q_{c}")) for c in FIELDS],
+                             [(F.col("category"), F.col("q_category"), share[0]), (F.col("product"), F.col("q_product"), share[1])], weights["semantic"])
+        unknown = index.docs.join(embeddings.select("doc_id"), "doc_id", "left_anti")
+        plain = plain.unionByName(zero(top)).unionByName(zero(first_docs(unknown, q, k2, ("category", "product"))))
+    merged = merge_scores({"keyword": keyword.unionByName(plain), "entity": entity_scores(index, q)}, weights).drop("relevance_score")
+    rows = with_filter_fields(merged.join(ent, ["query_id", "doc_id"], "left"), index, q).where(passes()).join(peaks, "query_id", "left")
+    raw = F.coalesce("graph_entities", F.lit(0.0)) + graph_class()
+    rows = rows.withColumn("graph_score", F.when(raw > 0, raw / F.col("graph_max")).otherwise(0.0)).drop("graph_entities", "graph_max")
+    if vectors is None:
+        rows = rows.withColumn("semantic_score", F.lit(0.0))
+    else:
+        rows = materialise(rows, "candidates")
+        sem = semantic_of(rows, embeddings, vectors)
+        rows = rows.join(sem, ["query_id", "doc_id"], "left").withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0)))
+    rel = r6(sum((F.lit(w) * F.col(f"{c}_score") for c, w in weights.items()), F.lit(0.0)))
+    cand = top_k(rows.withColumn("relevance_score", rel), k2, [F.col("relevance_score").desc()], "_pre")
     cat_match = F.col("q_category").isNotNull() & (F.lower(F.col("category")) == F.lower(F.col("q_category")))
-    fs = r6(rerank_enhanced_score(F.col("relevance_score"), F.col("success_rate"), cat_match,
-                                  F.col("entity_score"), F.col("graph_score")))
-    out = top_k(cand.withColumn("final_score", fs), limit, [F.col("final_score").desc(), F.col("_pre").asc()], "rank")
-    sem = [r6(F.col("semantic_score")).alias("semantic_score")] if "semantic" in frames else \
-        [F.lit(0.0).alias("semantic_score")]
+    fs = rerank_enhanced_score(F.col("relevance_score"), F.col("success_rate"), cat_match, F.col("entity_score"), F.col("graph_score"))
+    fs = r6(fs.cast("decimal(18,9)")).cast("double")  # half of a rounded relevance often ends in a tie: rounded as a decimal
+    out = with_texts(top_k(cand.withColumn("final_score", fs), limit, [F.col("final_score").desc(), F.col("_pre").asc()], "rank"), index)
     return out.select(
         "query_id", "rank", "doc_id", "title", "content", "relevance_score", "final_score",
         r6(F.col("success_rate")).alias("success_rate"), "category", "subcategory", "product",
-        r6(F.col("keyword_score")).alias("keyword_score"), *sem,
+        r6(F.col("keyword_score")).alias("keyword_score"), r6(F.col("semantic_score")).alias("semantic_score"),
         r6(F.col("entity_score")).alias("entity_score"), r6(F.col("graph_score")).alias("graph_score"),
     )
 
@@ -437,16 +493,11 @@ def search_ultra(index: SolutionIndex, queries: DataFrame, limit: int = 10) -> D
     """Keyword only (zero scores included, doc_id order); filter on category and product, then
     the first ``limit``; entity score .5 if any document entity occurs in the query text, category
     score .8 on a category match."""
-    q = prepare_queries(queries)
-    fill = first_docs(index, q.withColumn("q_subcategory", F.lit(None).cast("string")), limit)
-    kw = keyword_scores(index, q).unionByName(
-        fill.select("query_id", "doc_id", F.lit(0.0).alias("keyword_score"))
-    ).groupBy("query_id", "doc_id").agg(F.max("keyword_score").alias("keyword_score"))
-    kw = kw.withColumn("keyword_score", r6(F.col("keyword_score")))
-    rows = with_doc_fields(kw, index, q)
-    cond = filter_condition(F.col("category"), F.lit(None), F.col("product"),
-                            F.col("q_category"), F.lit(None).cast("string"), F.col("q_product"))
-    out = top_k(rows.where(cond), limit, [F.col("keyword_score").desc()], "rank").join(q.select("query_id", "q_text"), "query_id")
+    q = prepare_queries(queries).withColumn("q_subcategory", F.lit(None).cast("string"))
+    plain = first_docs(index.docs, q, limit).select("query_id", "doc_id", F.lit(0.0).alias("keyword_score"))
+    kw = keyword_scores(index, q).unionByName(plain).groupBy("query_id", "doc_id").agg(r6(F.max("keyword_score")).alias("keyword_score"))
+    rows = with_filter_fields(kw, index, q).where(passes())
+    out = with_texts(top_k(rows, limit, [F.col("keyword_score").desc()], "rank"), index).join(q.select("query_id", "q_text"), "query_id")
     # C14 on the (small) result rows only: candidates x their entity postings
     hit = (
         out.select("query_id", "doc_id", "q_text")
@@ -465,3 +516,20 @@ def search_ultra(index: SolutionIndex, queries: DataFrame, limit: int = 10) -> D
         F.when(F.col("q_category").isNotNull() & (F.lower(F.col("category")) == F.lower(F.col("q_category"))),
                F.lit(0.8)).otherwise(F.lit(0.0)).alias("category_score"),
     )
+
+
+def channel_lists(index: SolutionIndex, queries: DataFrame, embeddings: DataFrame, limit: int = 5) -> DataFrame:
+    """K0d: (query_id, doc_id, score, channel) of the best 2*limit keyword and the best 2*limit semantic hits in the query's category."""
+    q = prepare_queries(queries)
+    k2 = 2 * limit
+    kw = materialise(keyword_scores(index, q), "keyword")
+    vectors = materialise(feedback_vectors(kw, embeddings, "keyword_score").join(q.drop("q_text"), "query_id"), "query_vectors")
+    filtered = kw.join(index.docs.select("doc_id", "category"), "doc_id").join(q.select("query_id", "q_category"), "query_id").where("q_category is null or category = q_category")
+    best = top_k(filtered.withColumn("score", r6(F.col("keyword_score"))), k2, [F.col("score").desc()], "_r").select("query_id", "doc_id", "score")
+    sem = semantic_top_k(embeddings.join(index.docs.select("doc_id", "category"), "doc_id"), vectors, k2, [(F.col("category"), F.col("q_category"))])
+    return best.withColumn("channel", F.lit("keyword")).unionByName(sem.select("query_id", "doc_id", F.col("value").alias("score"), F.lit("semantic").alias("channel")))
+
+
+def hybrid_sum(lists: DataFrame, limit: int = 5) -> DataFrame:
+    """K9: the sum of a document's scores over the channels' lists; the best ``limit``."""
+    return top_k(lists.groupBy("query_id", "doc_id").agg(r6(F.sum("score")).alias("score")), limit, [F.col("score").desc()], "rank")

@@ -20,7 +20,7 @@ LIMIT = 10
 def _fast_sql(with_filters: bool, body: str | None = None, q_sql: str | None = None,
               extra: tuple[str, ...] = ()) -> str:
     cfg = CONFIGS["fast"]
-    pats = T.ENTITY_PATTERNS_FAST
+    pats = S.UNICODE_FAST | S.UNICODE_LONG
     if q_sql is not None:
         q = q_sql
     elif with_filters:
@@ -44,9 +44,9 @@ def _fast_sql(with_filters: bool, body: str | None = None, q_sql: str | None = N
         """kw AS (SELECT query_id, doc_id, sum(qw * weight) AS s FROM fx_qv JOIN fx_w USING (term)
   GROUP BY query_id, doc_id HAVING sum(qw * weight) > 0.01)""",
         f"""dent AS (SELECT DISTINCT doc_id, e.value AS value FROM (
-  SELECT doc_id, unnest({S.entity_list('text', pats)}) AS e FROM fdocs))""",
+  SELECT doc_id, unnest({S.entity_list_unicode('text', pats)}) AS e FROM fdocs))""",
         f"""qent AS (SELECT query_id, e.type AS type, e.value AS value FROM (
-  SELECT query_id, unnest({S.entity_list('q_text', pats)}) AS e FROM q))""",
+  SELECT query_id, unnest({S.entity_list_unicode('q_text', pats)}) AS e FROM q))""",
         """ent0 AS (SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS s FROM qent JOIN dent USING (value)
   GROUP BY query_id, doc_id)""",
         """ent AS (SELECT e.query_id, doc_id, s / mx AS s FROM ent0 e
@@ -85,7 +85,8 @@ FROM cand"""
 
 
 def _fast_index(spark, sf_dir):
-    return R.build_index(v_text(spark, sf_dir), "fast")
+    """The fast index; its entities are the reference's and the corpus's long words."""
+    return R.build_index(v_text(spark, sf_dir), "fast", patterns=T.ENTITY_PATTERNS_FAST | T.LONG_WORDS)
 
 
 def _rank_long(df):

@@ -67,6 +67,14 @@ def save_tables(tables: dict[str, DataFrame], base: str) -> None:
         w.write.mode("overwrite").parquet(f"{base}/{name}")
 
 
+def save_bucketed(df: DataFrame, path: str, by: str, buckets: int) -> str:
+    """``df`` as a table bucketed and sorted by ``by``; joins and aggregations on it read it without an exchange.
+    Returns the table's name in the session's catalogue; the data lie under ``path``."""
+    name = f"tessera_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, by).sortBy(by).option("path", path).format("parquet").saveAsTable(name)
+    return name
+
+
 def load_tables(spark: SparkSession, base: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{base}/{n}") for n in names}
 

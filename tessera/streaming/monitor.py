@@ -3,14 +3,17 @@
 Events arrive through a file source; each monitor is a watermarked, windowed aggregation written
 in update mode through ``foreachBatch`` to Parquet under the session's checkpoint folder (one
 folder per batch id). The current state of a monitor is read back as the latest row per key,
-so no result passes through the driver. Tests use ``trigger(availableNow=True)``; production
-would use ``processingTime`` (the reference scrapes every 10-15 s).
+so no result passes through the driver. The trigger is a parameter: ``AVAILABLE_NOW`` drains what has
+arrived, ``{"processingTime": "15 seconds"}`` follows a live folder (the reference scrapes every 10-15 s).
+
+The counters of a period start again with each period (a tumbling window); its state leaves when the
+watermark passes it. A row that arrives after that is late and changes nothing.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +45,11 @@ def event_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_columns(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet"))
 
 
+def arriving(spark: SparkSession, path: str) -> DataFrame:
+    """Streaming scan of a folder into which event files arrive: a file is a micro-batch."""
+    return event_columns(spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path))
+
+
 # ------------------------------------------------------------------ aggregations (stream = batch)
 def _win(w: Column) -> list[Column]:
     return [F.date_format(w.start, "yyyy-MM-dd HH:mm:ss").alias("window_start"),
@@ -92,13 +100,19 @@ def sum_by(ev: DataFrame, key: str = "category") -> DataFrame:
 
 
 # ------------------------------------------------------------------ running a monitor
+AVAILABLE_NOW = {"availableNow": True}
+
+
 def run_to_table(spark: SparkSession, stream_df: DataFrame, keys: Sequence[str], name: str,
-                 per_batch: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Run a streaming aggregation to completion (availableNow) in update mode; each micro-batch's
-    updated rows overwrite the Parquet folder of their batch id under
-    ``<checkpoint dir>/streams/<name>-<uuid>/data``, so a replayed batch repeats nothing; the result
-    is the latest row per key."""
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+                 per_batch: Callable[[DataFrame, int], DataFrame] | None = None, trigger: Mapping | None = None,
+                 root: str | None = None, timeout: float | None = None) -> DataFrame:
+    """Run a streaming aggregation in update mode; each micro-batch's updated rows overwrite the Parquet
+    folder of their batch id under ``<root>/data`` (``<checkpoint dir>/streams/<name>-<uuid>`` unless given),
+    so a replayed batch repeats nothing; the result is the latest row per key.
+
+    With a ``trigger`` that never ends, ``timeout`` seconds stop the query. The same ``root`` goes on
+    where an earlier run stopped."""
+    root = root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     out = f"{root}/data"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -106,8 +120,14 @@ def run_to_table(spark: SparkSession, stream_df: DataFrame, keys: Sequence[str],
         b.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = (stream_df.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
+         .option("checkpointLocation", f"{root}/ckpt").trigger(**dict(trigger or AVAILABLE_NOW)).start())
+    try:
+        if timeout is None:
+            q.awaitTermination()
+        else:
+            q.awaitTermination(timeout)
+    finally:
+        q.stop()
     rows = spark.read.parquet(out)
     if not keys:
         return rows.drop("batch")
