@@ -36,14 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; its shuffle files can then go."""
+def stage(df: DataFrame, release: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; its shuffle files can then go.
+
+    Without ``release`` they go whenever the collectors next run (for the small tables of loops)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    for _ in range(2):  # the context cleaner drops finished shuffles once both garbage collectors have let go of the plan
+    for _ in range(2 if release else 0):  # the context cleaner drops finished shuffles once both garbage collectors have let go of the plan
         gc.collect()
         time.sleep(0.2)
         spark.sparkContext._jvm.System.gc()

@@ -10,6 +10,7 @@ least half of the shorter word, so the walk may begin in the lower half, where f
 2. A word's zero-edit states are its own path. At each branching node of its lower half it takes its
    one edit: another character for its own, or a further character (a missing one is the further
    character of the other word). The states (word, rest, node) that survive the label are the frontier.
+   A state is taken only if the child has an edge for the next character of its rest.
 3. Level by level the frontier is joined to the edge table on (node, next character). A state whose
    label leads to a word's end yields a pair; the others go on at the child. The loop ends with the
    frontier; it has as many rounds as branching nodes follow an edit.
@@ -78,39 +79,59 @@ def paths(vocabulary: DataFrame) -> DataFrame:
 
 
 def edges(path: DataFrame) -> DataFrame:
-    """(node, sym, label, child, leaf, leaf_n): one row per edge; an edge to a word's end has no child but the word."""
+    """(node, sym, label, child, leaf, leaf_n, tail, next): one row per edge; an edge to a word's end has no child but the word.
+
+    ``tail`` is the label without its first character, ``next`` holds the first characters of the child's edges."""
     def edge(x: Column, i: Column) -> Column:
         after = F.get("path", i + 1)
         size = F.coalesce(after["depth"], F.char_length("s")) - x["depth"]
         return F.struct(x["node"].alias("node"), F.substring(F.col("s"), x["depth"] + 1, size).alias("label"), after["node"].alias("child"),
                         F.when(after.isNull(), F.col("word")).alias("leaf"), F.when(after.isNull(), F.col("n")).alias("leaf_n"))
-    rows = path.select(F.explode_outer(F.transform("path", edge)).alias("e")).select("e.*")
-    return rows.distinct().select("node", F.substring("label", 1, 1).alias("sym"), "label", "child", "leaf", "leaf_n")
+    rows = path.select(F.explode_outer(F.transform("path", edge)).alias("e")).select("e.*").distinct()
+    rows = stage(rows.select("node", F.substring("label", 1, 1).alias("sym"), "label", "child", "leaf", "leaf_n", F.expr("substring(label, 2)").alias("tail")))
+    ahead = rows.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(_sign(F.col("sym"))), "").alias("next"))
+    inner = rows.where("child is not null").join(ahead, "child")
+    last = rows.where("child is null").withColumn("next", F.lit(None).cast("string"))  # not joined: they would all meet on null
+    return inner.select(*last.columns).unionByName(last)
+
+
+#: Stands for the end of a word in ``next``.
+END = "\n"
+
+
+def _sign(c: Column) -> Column:
+    return F.when(c == "", END).otherwise(c)
+
+
+def _goes(rest: Column, label: Column) -> Column:
+    """Whether the rest runs along the label to a word's end, or to the child and on from there."""
+    on = F.instr(F.col("next"), _sign(F.substring(rest, F.char_length(label) + 1, F.lit(1)))) > 0
+    return F.when(F.col("child").isNull(), rest == label).otherwise(rest.startswith(label) & on)
 
 
-def _followed(rest: Column, label: Column) -> Column:
-    """States whose rest goes along the label: to the end of a word, or to the child with what is left."""
-    good = F.when(F.col("child").isNull(), rest == label).otherwise(rest.startswith(label))
-    return F.when(good, F.struct(F.col("word"), F.col("n"), F.substring(rest, F.char_length(label) + 1, F.char_length(rest)).alias("rest"), F.col("child"), F.col("leaf"), F.col("leaf_n")))
+def _state(rest: Column, label: Column) -> Column:
+    return F.struct("word", "n", F.substring(rest, F.char_length(label) + 1, F.char_length(rest)).alias("rest"), "child", "leaf", "leaf_n")
 
 
 def first_states(path: DataFrame, edge: DataFrame) -> DataFrame:
     """States after the one edit, taken at the branching nodes of a word's lower half."""
     lower = F.filter("path", lambda x: x["depth"] >= F.floor(F.char_length("s") / 2))
     at = path.select("word", "n", "s", F.explode_outer(lower).alias("x")).where("x is not null")
-    at = at.select("word", "n", F.col("x.node").alias("node"), F.expr("substring(s, x.depth + 1)").alias("left"))
-    both = at.join(edge, "node").where("sym <> '' and sym <> substring(left, 1, 1)")
-    tail = F.expr("substring(label, 2)")
-    other = F.when((F.col("left") != "") & (F.col("sym") > F.expr("substring(left, 1, 1)")), _followed(F.expr("substring(left, 2)"), tail))
-    further = _followed(F.col("left"), tail)
-    return both.select(F.explode_outer(F.array_compact(F.array(other, further))).alias("st")).where("st is not null").select("st.*")
+    at = at.select("word", "n", F.col("x.node").alias("node"), F.expr("substring(s, x.depth + 1, 1)").alias("own"), F.expr("substring(s, x.depth + 2)").alias("less"), F.expr("substring(s, x.depth + 1)").alias("left"))
+    less, left, tail = F.col("less"), F.col("left"), F.col("tail")
+    other = (F.col("own") != "") & (F.col("sym") > F.col("own")) & _goes(less, tail)
+    further = _goes(left, tail)
+    both = at.join(edge, "node").where((F.col("sym") != "") & (F.col("sym") != F.col("own")) & (other | further))
+    taken = F.array_compact(F.array(F.when(other, _state(less, tail)), F.when(further, _state(left, tail))))
+    return both.select(F.explode(taken).alias("st")).select("st.*")
 
 
 def next_states(states: DataFrame, edge: DataFrame) -> DataFrame:
     """One level down: the frontier meets the edges of its nodes that begin with the next character of the rest."""
-    at = states.select("word", "n", "rest", F.col("child").alias("node"), F.expr("substring(rest, 1, 1)").alias("sym"))
-    both = at.join(edge, ["node", "sym"])
-    return both.select(_followed(F.col("rest"), F.col("label")).alias("st")).where("st is not null").select("st.*")
+    at = states.select("word", "n", "rest", F.col("child").alias("node"), F.substring("rest", 1, 1).alias("sym"))
+    along = edge.select("node", "sym", "label", "child", "leaf", "leaf_n", "next")
+    both = at.join(along, ["node", "sym"]).where(_goes(F.col("rest"), F.col("label")))
+    return both.select(_state(F.col("rest"), F.col("label")).alias("st")).select("st.*")
 
 
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
@@ -120,7 +141,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     states = stage(first_states(path, edge))
     found = [states.where("child is null")]
     while not is_empty(states := states.where("child is not null")):
-        states = stage(next_states(states, edge))
+        states = stage(next_states(states, edge), release=len(found) < 3)  # the frontier shrinks fast
         found.append(states.where("child is null"))
     pairs = found[0]
     for more in found[1:]:
@@ -132,10 +153,10 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
 
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) of (word, form): forms followed to the last. Every form is more frequent than its word, so chains end."""
-    reached = stage(forms.select("word", F.col("form").alias("root")))
+    reached = stage(forms.select("word", F.col("form").alias("root")), release=False)
     while True:
         onward = reached.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        step = stage(reached.join(onward, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")))
+        step = stage(reached.join(onward, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), release=False)
         reached = step.select("word", "root")
         if is_empty(step.where("moved")):
             return reached
