@@ -16,10 +16,11 @@ are bounded by the sample and are sent to the tasks.
 
 A text's evidence is its ratio per word over the whole text and the largest over its windows of 1, 4
 and 16 words and the mean of its three largest, so a few expressions in a long text are not diluted. A logistic function fitted on a
-quarter of the sample, which the models have not seen, turns it into a probability at the labels'
-own share of toxic rows. Every row and every word of ``documents`` is scored, whatever its length.
+quarter of the sample, which the models have not seen, orders the texts. The same quarter sets the
+point that counts as .5: it catches ``RECALL`` of its toxic rows, unless that would flag more than
+``FALSE`` of its ordinary ones. Every row and every word of ``documents`` is scored, whatever its length.
 
-Defined cases: null and empty texts have no evidence and score the low end of the prior; a null id
+Defined cases: null and empty texts have no evidence and score low; a null id
 is never held out (crc32 of null is null) and never trains; label rows with a null label or id or
 without a document are left out; repeated label rows count once; with no sample of one class every
 score is 0; an empty table gives an empty table; other columns are not read.
@@ -38,6 +39,8 @@ from tessera.llm.words import IS_PUNCT, U, Chunk, chunks, combine
 
 #: Bound of the training sample: labelled rows of each class.
 SAMPLE_ROWS = 2500
+#: Share of the toxic calibration rows that score .5 and more, and the largest share of the ordinary ones that may.
+RECALL, FALSE = 0.985, 0.01
 WINDOWS = (1, 4, 16)
 TOP = 3
 WIDTH = len(WINDOWS) + 3
@@ -221,8 +224,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     y = seen["toxic"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return None
-    # the sample has more toxic rows than the labels: back to the labels' odds
-    shift = float(np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum())))
     best = None
     for k, ratios in enumerate(tried):
         x = np.stack([seen[n].to_numpy() for n in names[k * width:(k + 1) * width]], axis=1)
@@ -231,10 +232,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         z = np.clip(((x - mean) / scale) @ beta[:-1] + beta[-1], -30, 30)
         loss = float(np.log1p(np.exp(-np.where(y > 0, z, -z))).sum())
         if best is None or loss < best[0]:
-            best = loss, Model(ratios, mean, scale, beta, shift)
+            best = loss, Model(ratios, mean, scale, beta, -cut_off(z, y))
     return best[1]
 
 
+def cut_off(z: np.ndarray, y: np.ndarray, recall: float = RECALL, false: float = FALSE) -> float:
+    """The evidence from which on a text is called toxic."""
+    return float(max(np.quantile(z[y > 0], 1 - recall, method="lower"), np.quantile(z[y == 0], 1 - false)))
+
+
 def _score(shared):
     def run(batches):
         for b in batches:

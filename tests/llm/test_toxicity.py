@@ -73,6 +73,26 @@ def test_held_out_accuracy(spark, docs):
     assert kept == {k for k, r in got.items() if not r.predicted}
 
 
+def test_cut_off_catches_the_share_it_promises():
+    r = np.random.default_rng(2)
+    y = np.concatenate([np.ones(400), np.zeros(4000)])
+    z = np.concatenate([r.normal(6, 1, 400), r.normal(0, 1, 4000)])
+    cut = T.cut_off(z, y, 0.985, 0.01)
+    assert (z[y > 0] >= cut).mean() >= 0.985 and (z[y == 0] >= cut).mean() <= 0.01
+    mixed = np.concatenate([r.normal(1, 1, 400), r.normal(0, 1, 4000)])  # classes that overlap: the ordinary ones decide
+    assert (mixed[y == 0] >= T.cut_off(mixed, y, 0.985, 0.01)).mean() <= 0.0101
+
+
+def test_held_out_recall_on_the_given_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = T.score_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
+    toxic = [r.predicted for r in got if r.toxic == 1]
+    ordinary = [r.predicted for r in got if r.toxic == 0]
+    assert len(toxic) > 50 and sum(toxic) >= 0.9 * len(toxic)
+    assert sum(ordinary) <= 0.04 * len(ordinary)
+
+
 def test_defined_cases(spark, docs):
     rows, labels = make(120)
     rows += [(1000, None), (1001, ""), (None, "vile"), (5, rows[7][1]), (1002, "w1 " * 50000)]
