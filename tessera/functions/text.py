@@ -86,7 +86,7 @@ def preview(c: Column, n: int = 200, ellipsis: bool = True) -> Column:
     return F.when(F.length(c) > n, F.concat(cut, F.lit("..."))).otherwise(null_to_empty(c))
 
 
-def _accent_rule(lo: int = 0x80, hi: int = 0x250) -> tuple[str, str, str]:
+def _accent_rule(lo: int = 0x80, hi: int = 0x10000) -> tuple[str, str, str]:
     """Build the accent-folding map by rule: a Latin character whose compatibility decomposition
     has exactly one ASCII character maps to it; others are deleted later."""
     src, dst = [], []

@@ -32,6 +32,14 @@ def unpivot_counts(df: DataFrame, dims: Sequence[str], unknown: str | None = Non
     return x.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def unpivot_values(df: DataFrame, dims: Sequence[str], time_col: str, helpful_col: str, unknown: str = "unknown") -> DataFrame:
+    """(dimension, value, n, time_sum, helpful_sum) in one pass: the sums stand for the lists of values that grow with the
+    period. Missing values are ``unknown``, 0 and false."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit(unknown)).alias("value")) for d in dims])
+    x = df.select(F.explode(pairs).alias("p"), F.coalesce(F.col(time_col).cast("double"), F.lit(0.0)).alias("t"), F.coalesce(F.col(helpful_col), F.lit(False)).cast("long").alias("h"))
+    return x.groupBy("p.dimension", "p.value").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("t"), 4).alias("time_sum"), F.sum("h").alias("helpful_sum"))
+
+
 def scalar_stats(df: DataFrame, time_col: str = "resolution_time_hours", helpful_col: str = "resolution_helpful",
                  defaults: bool = False) -> DataFrame:
     """One row (total_tickets, avg_resolution_time, success_rate).

@@ -129,11 +129,12 @@ def volume_anomalies(df: DataFrame, ts_col: str, key: str, k: float = 2.0) -> Da
 
 def sentiment_shift(df: DataFrame, ts_col: str = "created_at", product: str = "product",
                     sentiment: str = "customer_sentiment", negative: str = "negative", window_size: int = 2,
-                    k: float = 2.0, min_weeks: int = 4) -> DataFrame:
+                    k: float = 2.0, min_weeks: int = 4, period: str = "week") -> DataFrame:
     """Weekly negative share per product; rolling mean / sample std over ``window_size``
     weeks (previous + current, T14); flag |share - mean| > k * std when std > 0; products with
-    fewer than ``min_weeks`` weeks get no flag (``enough_data`` false). The week key is date_trunc('week') (T15)."""
-    wk = F.date_format(F.date_trunc("week", F.col(ts_col)), "yyyy-MM-dd")
+    fewer than ``min_weeks`` weeks get no flag (``enough_data`` false). The week key is date_trunc('week') (T15);
+    ``period`` takes another unit of date_trunc in its place."""
+    wk = F.date_format(F.date_trunc(period, F.col(ts_col)), "yyyy-MM-dd")
     weekly = df.groupBy(F.col(product).alias("product"), wk.alias("week")).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col(sentiment) == negative).alias("negative"))

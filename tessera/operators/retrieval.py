@@ -14,6 +14,7 @@ so results are deterministic across engines and partitionings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -83,19 +84,19 @@ def _col_or_null(df: DataFrame, name: str, dtype: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
 
 
-def prepare_solutions(solutions: DataFrame, mode: str = "fast") -> DataFrame:
-    """Per-document fields the retrievers keep (Z5: one select instead of a row loop)."""
+def prepare_solutions(solutions: DataFrame, mode: str = "fast", clean: Callable[[Column], Column] = T.normalise) -> DataFrame:
+    """Per-document fields the retrievers keep (Z5: one select instead of a row loop); ``clean`` is applied to each text."""
     subj, desc = _col_or_null(solutions, "subject"), _col_or_null(solutions, "description")
     logs = _col_or_null(solutions, "error_logs")
     helpful = _col_or_null(solutions, "resolution_helpful", "boolean")
     sat = _col_or_null(solutions, "satisfaction_score", "double")
     if mode == "ultra":
-        s, d = T.normalise(subj), T.normalise(desc)
+        s, d = clean(subj), clean(desc)
         text = F.concat(s, F.lit(" "), d)
         title, content = F.substring(s, 1, 100), F.substring(d, 1, 200)  # previews (F11); the whole text is indexed
     else:
-        s, d = T.normalise(subj), T.normalise(desc)
-        text = T.combine_text(s, d, T.normalise(logs))
+        s, d = clean(subj), clean(desc)
+        text = T.combine_text(s, d, clean(logs))
         title = s
         content = T.preview(d, 200, ellipsis=(mode == "full"))
     return solutions.select(
@@ -117,9 +118,9 @@ def doc_entities(docs: DataFrame, patterns: dict, distinct: bool = True, text_co
 
 
 def build_index(solutions: DataFrame, mode: str = "fast", tfidf_cfg: TfidfConfig | None = None,
-                patterns: dict | None = None) -> SolutionIndex:
-    """R1 (full), R2 (fast), R3 (ultra): documents, TF-IDF postings and entity postings."""
-    docs = prepare_solutions(solutions, mode).persist(StorageLevel.MEMORY_AND_DISK)
+                patterns: dict | None = None, clean: Callable[[Column], Column] = T.normalise) -> SolutionIndex:
+    """R1 (full), R2 (fast), R3 (ultra): documents, TF-IDF postings and entity postings. Queries take the same ``clean``."""
+    docs = prepare_solutions(solutions, mode, clean).persist(StorageLevel.MEMORY_AND_DISK)
     cfg = tfidf_cfg or CONFIGS[mode]
     pats = patterns or PATTERNS[mode]
     model = fit_transform(docs, "doc_id", "text", cfg)
@@ -162,10 +163,10 @@ def posting_ids(chunks: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------------------------
 # Query batch
 # --------------------------------------------------------------------------------------------
-def prepare_queries(queries: DataFrame) -> DataFrame:
+def prepare_queries(queries: DataFrame, clean: Callable[[Column], Column] = T.normalise) -> DataFrame:
     return queries.select(
         "query_id",
-        T.normalise(F.col("query")).alias("q_text"),
+        clean(F.col("query")).alias("q_text"),
         _col_or_null(queries, "category").alias("q_category"),
         _col_or_null(queries, "subcategory").alias("q_subcategory"),
         _col_or_null(queries, "product").alias("q_product"),
