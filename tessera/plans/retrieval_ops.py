@@ -61,7 +61,7 @@ FROM t_qv JOIN t_w USING (term) GROUP BY query_id, doc_id""", *ctes)
 
 @query("search_keyword", _kw_sql("full"))
 def search_keyword(spark, sf):
-    idx = R.build_index(v_text(spark, sf), "full")
+    idx = R.build_index(v_text(spark, sf), "full", write_entities=False)
     kw = R.keyword_scores(idx, R.prepare_queries(benchmark_queries(spark, sf)))
     return kw.select("query_id", "doc_id", R.r6(F.col("keyword_score")).alias("keyword_score"))
 
