@@ -7,7 +7,7 @@ largest weight. For a query of T terms:
    best document reaches for sure.
 2. A document all of whose postings lie in blocks with query weight * block maximum < threshold / T
    scores less than the threshold. So candidates are the documents of the other blocks only.
-3. Candidates get their whole score from the postings of their terms, and the best k are ranked.
+3. Candidates get their whole score from the postings of their terms, by document blocks, and the best k are ranked.
 
 Scores are rounded before they are ranked, so the threshold is lowered by the rounding.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.products import block_scores
 from tessera.operators.sampling import row_index
 from tessera.sources.files import materialise
 
@@ -52,7 +53,7 @@ def keyword_top_k(postings: DataFrame, blocks: DataFrame, terms: DataFrame, k: i
     plan = materialise(block_plan(blocks, terms, k), "plan")
     found = plan.join(blocks, ["term", "block"]).select("query_id", F.explode("docs.doc_id").alias("doc_id")).distinct()
     found = materialise(found, "candidates")
-    asked = found.join(terms, "query_id")
-    scored = asked.join(postings.select("doc_id", "term", "weight"), ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), ROUND).alias("keyword_score"))
+    scored = block_scores(postings.select("doc_id", "term", "weight"), terms.select("query_id", "term", F.col("qw").alias("weight")), float("-inf"), pairs=found, k=k)
+    scored = scored.select("query_id", "doc_id", F.round("score", ROUND).alias("keyword_score"))
     w = Window.partitionBy("query_id").orderBy(F.col("keyword_score").desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
