@@ -76,3 +76,24 @@ def test_searches_leave_rejected_pairs_in_the_task(spark):
     q = R.prepare_queries(spark.createDataFrame([(1, "word1 word2", "A", None, "p1"), (2, "word2", None, None, None)], "query_id long, query string, category string, subcategory string, product string"))
     every, kept = (sorted((r.query_id, r.doc_id) for r in R.keyword_scores(idx, q, filtered=f).collect()) for f in (False, True))
     assert kept == [(x, d) for x, d in every if x == 2 or (d % 2 == 0 and d % 5 == 1)] and kept != every
+
+
+def test_pairs_are_merged_where_they_lie(spark):
+    docs = [(i, f"word{i % 7} timeout" if i % 4 else "timeout", None, "ab"[i % 2] if i % 9 else None, f"p{i % 5}") for i in range(60)] + [(3, "word3", None, "b", "p3")]  # id 3 in two rows
+    idx = R.build_index(spark.createDataFrame(docs, "id long, description string, subject string, category string, product string"), "fast")
+    asked = [(1, "word1 timeout", "a", "p1"), (2, "word2", None, "p2"), (3, "word3", "b", None), (4, "word3", None, None)]
+    q = R.prepare_queries(spark.createDataFrame(asked, "query_id long, query string, category string, product string"))
+    want = {}
+    pairs = {(p, c) for *_, c, p in docs}
+    for n, _, c, p in asked:
+        for d, _, _, dc, _ in docs:
+            if dc is not None and (dc == c or (p, dc) in pairs):
+                want[n, d] = want.get((n, d), 0) + .5 * (dc == c) + .3 * ((p, dc) in pairs)
+    category = R.category_scores(idx, q)
+    assert {(r.query_id, r.doc_id): r.category_score for r in category.collect()} == pytest.approx(want)
+    frames = {"keyword": R.keyword_scores(idx, q), "entity": R.entity_scores(idx, q), "category": category}
+    merged = R.merge_scores(frames, R.FAST_WEIGHTS, ("category",))
+    lines = merged._jdf.queryExecution().executedPlan().toString().splitlines()
+    above = lines[:next(i for i, x in enumerate(lines) if "Union" in x)]
+    assert not any("Exchange" in x for x in above), "\n".join(lines)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, R.merge_scores(frames, R.FAST_WEIGHTS).collect()))
