@@ -97,3 +97,14 @@ def test_pairs_are_merged_where_they_lie(spark):
     above = lines[:next(i for i, x in enumerate(lines) if "Union" in x)]
     assert not any("Exchange" in x for x in above), "\n".join(lines)
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, R.merge_scores(frames, R.FAST_WEIGHTS).collect()))
+
+
+def test_feedback_takes_the_best_hits_of_all_documents_with_a_vector(spark):
+    from tessera.operators.semantic import feedback_vectors
+    docs = [(i, f"word{i % 7} word{i % 4} common{i % 2}", None, "ab"[i % 2], "p") for i in range(80)]
+    idx = R.build_index(spark.createDataFrame(docs, "id long, description string, subject string, category string, product string"), "fast", write_entities=False)
+    q = R.prepare_queries(spark.createDataFrame([(1, "word1 common1", "a"), (2, "word5 word2", "b"), (3, "unknown", None)], "query_id long, query string, category string"))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0] if i % 3 else None) for i in range(5, 80)], "doc_id long, embedding array<double>")
+    got = {r.query_id: r.embedding for r in R.feedback(idx.tfidf.matches(q, "query_id", "q_text"), vectors).collect()}
+    want = {r.query_id: r.embedding for r in feedback_vectors(R.keyword_scores(idx, q), vectors, "keyword_score").collect()}
+    assert got == want and set(got) == {1, 2}
