@@ -13,8 +13,11 @@
        T(k | j) = (n(j, k) + ALPHA * P(k)) / (n(j) + ALPHA),  P(k) = (n(k) + [k is rare]) / (N + 1)
        E(w | k) = c(w) / n(k),   for rare words (c(w) + 1) / (n(rare) + V(rare) + 1)
    which sums to one over all words and the unknown one. The head's counts and classes (bounded by
-   ``HEAD``) are sent to the tasks; rare words leave them as (text, word, times) and meet their counts
-   in a join, one path at every size: both scores need only the sum of log10(c + 1) over them.
+   ``HEAD``) are sent to the tasks; rare words leave them packed by bucket of the word's hash and meet
+   their counts there, one path at every size: both scores need only the sum of log10(c + 1) over them.
+
+Texts are cut into words twice: once for the counts, and once when the head is known; then the training
+texts are written as the places of their words in the head, which the seeds and every sweep read.
 
 Defined cases: null and empty texts are one end token; a null id trains and is not held out; rows
 that repeat an id are texts of their own; without training tokens both scores are 0; an empty table
@@ -54,6 +57,9 @@ BLOCKS = 16
 COLUMNS = 2 * UNITS + 1
 KEYS = 1 << 21
 ROWS = 1 << 11
+#: Tokens that a task looks at together, and rare words and their counts in a bucket.
+AT_ONCE = 1 << 18
+BUCKET = 1 << 21
 
 
 def held_out(id_col: str):
@@ -120,13 +126,34 @@ def before(unit: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bigrams(shared):
+def _places(shared):
+    """A text's tokens as places (``Head.place``) of four bytes, one row a text."""
     def run(batches):
-        total, seeds = np.zeros(SEEDS * SEEDS, np.int64), shared.value.seeds()
         for b in batches:
             for c in chunks(b.column(0), lower=True):
                 h, edges = tokens(c)
-                unit = seeds[shared.value.place(h)]
+                at = shared.value.place(h).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), c.n, [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(at)])], names=["places"])
+    return run
+
+
+def placed(column: pa.Array):
+    """(places, edges) of consecutive texts, about ``AT_ONCE`` tokens at a time; a longer text is not cut."""
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    first = 0
+    while first < len(column):
+        last = max(int(np.searchsorted(offsets, offsets[first] + 4 * AT_ONCE, side="right")) - 1, first + 1)
+        yield np.frombuffer(column.buffers()[2], np.int32, (offsets[last] - offsets[first]) // 4, offsets[first]).astype(np.int64), (offsets[first:last + 1] - offsets[first]) // 4
+        first = last
+
+
+def _bigrams(shared):
+    def run(batches):
+        total, seeds = np.zeros(SEEDS * SEEDS, np.int64), shared.value.seeds()
+        for b in batches:
+            for at, edges in placed(b.column(0)):
+                unit = seeds[at]
                 total += np.bincount(before(unit, edges).astype(np.int64) * SEEDS + unit, minlength=SEEDS * SEEDS)
         if total.any():
             parts = np.array_split(total, BLOCKS)
@@ -163,9 +190,7 @@ def _contexts(shared, units_of):
         head = shared.value
         units, keys, times, held = units_of.value.astype(np.int64), [], [], 0
         for b in batches:
-            for c in chunks(b.column(0), lower=True):
-                h, edges = tokens(c)
-                here = head.place(h)
+            for here, edges in placed(b.column(0)):
                 last = np.empty_like(here)
                 last[1:] = here[:-1]
                 last[edges[:-1]] = len(head.h)
@@ -345,7 +370,7 @@ class Model:
 
     def __init__(self, head: Head, bigrams: np.ndarray, total: int, vocabulary: int, rare_words: int):
         """``bigrams`` of the units of ``head``."""
-        self.head, self.total, self.vocabulary = head, total, vocabulary
+        self.head, self.total, self.vocabulary, self.rare_words = head, total, vocabulary, rare_words
         self.cls = np.arange(UNITS)  # every unit is a class
         k = UNITS
         pair = bigrams.astype(float)
@@ -391,14 +416,72 @@ def _score(shared):
             col = [np.concatenate([p[k] for p in parts]) for k in range(6)]
             rows = len(col[0])
             words = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(col[5]))).astype(np.int32)), pa.array(col[4].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(rows)), b.column(0), pa.array(col[0]), pa.array(col[1]), pa.array(col[2]), pa.array(col[3]), words],
-                                             names=["uid", "_id", "n_tokens", "known", "base", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(rows)), b.column(0), pa.array(col[0]), pa.array(col[1]), pa.array(col[2]), pa.array(col[3]), words, pa.array(col[5])],
+                                             names=["uid", "_id", "n_tokens", "known", "base", "score", "rare", "n_rare"])
             uid += rows
     return run
 
 
+def _pack(group: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """One row a group: its number and its part of each column."""
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    rows = np.split(order, first[1:]) if len(order) else []
+    cells = [pa.array([c[r].tobytes() for r in rows], pa.binary()) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(group[order][first].astype(np.int64)), *cells], names=["k", *"abc"[:len(columns)]])
+
+
+def _unpack(packed: pa.Table, name: str, dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x.as_buffer(), dtype) for x in packed[name])])
+
+
+def _rare_words(buckets: int):
+    """Rows (uid, rare) to packed (uid, word) by the word's bucket."""
+    def run(batches):
+        for b in batches:
+            h = b.column(1).flatten().to_numpy().view(U)
+            yield _pack((h % U(buckets)).astype(np.int64), np.repeat(b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy()), h)
+    return run
+
+
+def _rare_counts(shared, buckets: int):
+    """Rows (h, c) to packed (word, count) by bucket, without the head and the end."""
+    def run(batches):
+        for b in batches:
+            h = b.column(0).to_numpy().view(U)
+            rare = np.flatnonzero(shared.value.head.place(h) == len(shared.value.head.h) + 1)
+            h = h[rare]
+            yield _pack((h % U(buckets)).astype(np.int64), h, b.column(1).to_numpy()[rare])
+    return run
+
+
+def _meet(words: pa.Table, counts: pa.Table) -> pa.Table:
+    """A bucket's words and counts to each text's known words and sum of log10(c + 1), packed by the part of the texts."""
+    uid, h = _unpack(words, "a", np.int64), _unpack(words, "b", U)
+    known, c = _unpack(counts, "a", U), _unpack(counts, "b", np.int64)
+    order = np.argsort(known)
+    known, c = known[order], c[order]
+    at = np.searchsorted(known, h)
+    there = np.flatnonzero(at < len(known))
+    there = there[known[at[there]] == h[there]]
+    texts, of = np.unique(uid[there], return_inverse=True)
+    n = np.bincount(of, minlength=len(texts)).astype(np.int64)
+    return pa.Table.from_batches([_pack(texts >> 33, texts, n, np.bincount(of, np.log10(c[at[there]] + 1.0), len(texts)))])
+
+
+def _add_rare(texts: pa.Table, sums: pa.Table) -> pa.Table:
+    """The texts of a part with their rare words' sums added."""
+    uid, n, s = _unpack(sums, "a", np.int64), _unpack(sums, "b", np.int64), _unpack(sums, "c", np.float64)
+    own = texts["uid"].to_numpy()
+    names = np.sort(own)  # every uid of the sums is one of them
+    at = np.searchsorted(names, uid)
+    place = np.searchsorted(names, own)
+    more, known = np.bincount(at, s, len(names))[place], np.bincount(at, n, len(names)).astype(np.int64)[place]
+    return pa.table([texts["_id"], texts["n_tokens"], pa.array(texts["known"].to_numpy() + known), pa.array(texts["base"].to_numpy() + more), pa.array(texts["score"].to_numpy() + more)], names=["_id", "n_tokens", "n_known", "base_score", "score"])
+
+
 def seed(texts: DataFrame, head: Head, shared, classes: int = CLASSES) -> int:
-    """Sets the units of the ``CLUSTERED`` most frequent words; the number of classes."""
+    """``texts`` as places. Sets the units of the ``CLUSTERED`` most frequent words; the number of classes."""
     parts = texts.mapInArrow(_bigrams(shared), "block int, counts binary")
     if texts.rdd.getNumPartitions() > 256:  # a first round of sums, so that no block gathers one matrix from every task
         parts = parts.repartition(64).mapInArrow(_add, "block int, counts binary")
@@ -447,8 +530,9 @@ def fit(train: DataFrame, text_col: str, head: int = HEAD) -> tuple[Model, DataF
     top = counts.orderBy(F.desc("c"), "h").limit(head).toArrow()  # at most ``head`` rows
     words = Head(top["h"].to_numpy().view(U), top["c"].to_numpy())
     shared = spark.sparkContext.broadcast(words)  # its units change here only
-    classes = seed(texts, words, shared)
-    pair = sweep(texts, words, shared, classes)
+    places = stage(texts.mapInArrow(_places(shared), "places binary"))
+    classes = seed(places, words, shared)
+    pair = sweep(places, words, shared, classes)
     end = counts.where(F.col("h") == int(END)).count()
     return Model(words, pair, total.n or 0, total.v, total.v - end - len(words.h)), counts
 
@@ -458,13 +542,16 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     model, counts = fit(docs.where(~held_out(id_col)), text_col, head)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t"))
-    scored = stage(rows.mapInArrow(_score(shared), f"uid long, _id {dict(rows.dtypes)['_id']}, n_tokens long, known long, base double, score double, rare array<long>"))
-    rare = scored.select("uid", F.explode_outer("rare").alias("h")).where("h is not null").groupBy("uid", "h").agg(F.count(F.lit(1)).alias("m"))
-    rare = rare.join(counts, "h").groupBy("uid").agg(F.sum("m").alias("_n"), F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("_s"))  # unknown words add log10(1)
-    out = scored.drop("rare").join(rare, "uid", "left")
-    more = F.coalesce("_s", F.lit(0.0))
-    return out.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("_n", F.lit(0))).alias("n_known"),
-                      F.lit(int(model.total)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    kind = dict(rows.dtypes)["_id"]
+    scored = stage(rows.mapInArrow(_score(shared), f"uid long, _id {kind}, n_tokens long, known long, base double, score double, rare array<long>, n_rare long"))
+    left = scored.agg(F.sum("n_rare")).first()[0] or 0
+    buckets = max(1, -(-(left + model.rare_words) // BUCKET))
+    words = scored.where("n_rare > 0").select("uid", "rare").mapInArrow(_rare_words(buckets), "k long, a binary, b binary")
+    known = counts.select("h", "c").mapInArrow(_rare_counts(shared, buckets), "k long, a binary, b binary")
+    sums = words.groupBy("k").cogroup(known.groupBy("k")).applyInArrow(_meet, "k long, a binary, b binary, c binary")
+    texts = scored.select(F.shiftright("uid", 33).alias("k"), "uid", "_id", "n_tokens", "known", "base", "score")
+    out = texts.groupBy("k").cogroup(sums.groupBy("k")).applyInArrow(_add_rare, f"_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 @query("op2_brown_lm")

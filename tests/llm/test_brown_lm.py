@@ -106,3 +106,25 @@ def test_empty(spark, docs):
     held = next(i for i in range(100) if out(i))
     r = B.score_lm(docs([(held, "a b")])).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0)
+
+
+def test_rare_words_meet_their_counts_without_a_join(spark, docs, monkeypatch):
+    """F op2: the join of (text, rare word) grew from 0.2 to 3.1 million rows where the texts grew five times."""
+    rows = [(k, " ".join(f"w{(k * j) % 97}" for j in range(30))) for k in range(300)] + [(None, "w1 unknown"), (7, None)]
+    df = docs(rows)
+    whole = B.score_lm(df, head=20)
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((tuple(r) for r in whole.collect()), key=repr)
+    monkeypatch.setattr(B, "BUCKET", 5)
+    got = sorted((tuple(r) for r in B.score_lm(df, head=20).collect()), key=repr)
+    assert [w[:5] for w in want] == [g[:5] for g in got] and all(w[5:] == pytest.approx(g[5:]) for w, g in zip(want, got, strict=True))
+
+
+def test_places_of_long_texts(monkeypatch):
+    """Written places are read in pieces of whole texts; none is cut or lost."""
+    import pyarrow as pa
+    texts = [list(range(k, k + n)) for k, n in ((0, 1), (5, 40), (9, 3), (2, 100), (1, 1))]
+    column = pa.array([np.array(t, np.int32).tobytes() for t in [[4, 4], *texts]], pa.binary()).slice(1)
+    monkeypatch.setattr(B, "AT_ONCE", 10)
+    got = [at[a:b].tolist() for at, edges in B.placed(column) for a, b in zip(edges, edges[1:])]
+    assert got == texts
