@@ -106,3 +106,9 @@ def taxonomy_edges(docs: DataFrame) -> DataFrame:
     ss = docs.select(F.col("subcategory").alias("src"), solution_node(F.col("doc_id")).alias("dst"),
                      F.lit("has_solution").alias("relation"))
     return cs.unionByName(ss)
+
+
+def shared_values(query_entities: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, doc_id, value), distinct. Both sides are distinct before they meet, so the pairs, which grow with the
+    product of both sides, stream out of the join and are never held to be compared with each other."""
+    return query_entities.select("query_id", "value").distinct().join(entities.select("doc_id", "value").distinct(), "value").select("query_id", "doc_id", "value")

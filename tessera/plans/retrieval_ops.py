@@ -121,8 +121,7 @@ def intersect_entities(spark, sf):
     """The entity values a conversation turn shares with each document."""
     idx = _full_index(spark, sf)
     qe = R.query_entities(R.prepare_queries(conversation_queries(spark, sf)), PATTERNS)
-    return qe.select("query_id", "value").join(idx.entities.select("doc_id", "value"), "value").select(
-        "query_id", "doc_id", "value").distinct()
+    return H.shared_values(qe, idx.entities)
 
 
 @query("search_entity", S.with_views("""
