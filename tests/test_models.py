@@ -121,3 +121,18 @@ def test_report_that_does_not_exist_is_empty(spark):
     assert scan_report(spark, path, schema).collect() == []
     write_json(spark.createDataFrame([("a", 0.5)], schema), path)
     assert [tuple(r) for r in scan_report(spark, path, schema).collect()] == [("a", 0.5)]
+
+
+def test_boosted_queries_use_the_settings_of_the_library(spark, monkeypatch):
+    from conftest import SMOKE
+    from tessera.plans import models as Q
+    train, asked = M.train, []
+
+    def quick(df, kind="logistic", **settings):
+        asked.append((kind, settings.get("boosted")))
+        return train(df, "logistic", iterations=1)
+    monkeypatch.setattr(M, "train", quick)
+    assert Q.train_boosted(spark, SMOKE).count() > 0
+    assert Q.compare_models(spark, SMOKE).count() == 3
+    assert [kind for kind, _ in asked] == ["boosted", "logistic", "forest", "boosted"]
+    assert all(b in (None, M.FEW) for _, b in asked)
