@@ -220,7 +220,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     # a pair is reported for the first pair of segments in which it is close
     pair = F.when(close(0) & close(1), 0).when(close(0) & close(2), 1).otherwise(2)
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & (F.shiftright(a["key"], 24) == pair)
-    return a.join(b, (a["key"] == b["key"]) & near).select("a", "b")
+    # a hint, since the planner takes either side for as small as the nodes that it was made from
+    return a.join(b.hint("merge"), (a["key"] == b["key"]) & near).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:

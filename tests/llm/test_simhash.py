@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
+from tessera.llm.common import stage
 
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -97,3 +98,10 @@ def test_whole_table(spark):
     df = spark.read.parquet(f"{SMOKE}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.op9_simhash(spark, SMOKE).collect()), key=repr) == brute_components(rows)
+
+
+def test_keys_are_not_broadcast(spark, docs):
+    """The planner sizes the 84 keys of a fingerprint by the table of fingerprints, which may be under the broadcast limit."""
+    nodes = stage(simhash.fingerprints(docs(list(enumerate(texts(60))))).select("fp").distinct())
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
