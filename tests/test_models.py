@@ -136,3 +136,23 @@ def test_boosted_queries_use_the_settings_of_the_library(spark, monkeypatch):
     assert Q.compare_models(spark, SMOKE).count() == 3
     assert [kind for kind, _ in asked] == ["boosted", "logistic", "forest", "boosted"]
     assert all(b in (None, M.FEW) for _, b in asked)
+
+
+def test_texts_are_cut_into_words_once_for_all_targets(tickets, monkeypatch):
+    from tessera.functions import text as T
+    plain, calls = T.tokens, []
+    monkeypatch.setattr(T, "tokens", lambda c, strip_accents=False: calls.append(1) or plain(c, strip_accents))
+    rep, models = M.train_targets(tickets, ["team", "product"], ["text"], [], ["hours"], cfg=CFG, iterations=2)
+    assert sorted(models) == ["product", "team"] and len(calls) == 1
+
+
+def test_words_give_the_features_of_their_texts(spark):
+    cfg = TfidfConfig(max_features=30, ngram_range=(1, 2))
+    rows = [(1, "The Router, the cable and THE signal"), (2, None), (3, ""), (4, "the"), (5, "router cable router cable"), (6, "cable Straße é")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    words = A.with_words(texts, ["text"], cfg)
+    assert dict(words.dtypes)["text"] == "array<string>"
+    state, same = (A.fit_features(x, ["text"], [], [], cfg) for x in (texts, words))
+    assert sorted(map(tuple, state.terms.collect())) == sorted(map(tuple, same.terms.collect()))
+    got = lambda x: {r.id: r.features for r in A.apply_features(x, state).collect()}
+    assert got(texts) == got(words)
